@@ -188,7 +188,7 @@ def flow_accumulation(spark, d):
     return raster.flow_accumulation(raster.d8(rel.raster(spark, d)))
 
 
-TWI = f"""select s."row", s.col, s.value, s.slope, coalesce(a.flow_accumulation, 0) as flow_accumulation, ln((coalesce(a.flow_accumulation, 0) + 1)/tan(s.slope + 0.001::double)) as twi
+TWI = f"""select s."row", s.col, s.value, s.slope, coalesce(a.flow_accumulation, 0) as flow_accumulation, case when tan(s.slope + 0.001::double) > 0 then ln((coalesce(a.flow_accumulation, 0) + 1)/tan(s.slope + 0.001::double)) end as twi
  from ({SLOPE}) s left join {WALK} a on a."row"=s."row" and a.col=s.col"""
 
 

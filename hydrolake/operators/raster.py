@@ -152,7 +152,11 @@ def flow_accumulation(directions: DataFrame) -> DataFrame:
 
 
 def twi(cells: DataFrame, tile: int = 256, value: str = "value") -> DataFrame:
-    """Slope, flow accumulation and wetness index ln((acc + 1) / tan(slope + 0.001)) per cell."""
+    """Slope, flow accumulation and wetness index ln((acc + 1) / tan(slope + 0.001)) per cell.
+
+    The index is NULL beside no-data cells, where the slope is all but vertical and the tangent
+    turns negative.
+    """
     acc = flow_accumulation(d8(cells, value, tile))
     sloped = slope(cells, value, tile).join(acc, ["row", "col"], "left")
     a = F.coalesce(F.col("flow_accumulation"), F.lit(0))
