@@ -59,7 +59,7 @@ def event_days(spark, d):
     daily = rollups.daily_rollup(rel.obs_hourly(spark, d))
     tide = rel.obs_hourly(spark, d).groupBy("loc", F.to_date("time").alias("tanggal")).agg(F.max("est").alias("pasut_msl_max"))
     r = F.col("rain_sum_imputed")
-    return daily.join(tide, ["loc", "tanggal"]).withColumn("status_siaga", F.when(r > 50, "Banjir").when(r > 20, "Air Meluap").when(r != 0.44, "Aman"))
+    return daily.join(tide, ["loc", "tanggal"]).withColumn("status_siaga", F.when(r > 50, "Banjir").when(r > 20, "Air Meluap").otherwise("Aman"))
 
 
 EVENT_DAYS = """select loc, cast("time" as date) as tanggal, sum(precipitation) as rain_sum_imputed, max(precipitation) as rain_intensity_max, avg(soil_moisture_surface) as soil_moisture_surface_mean,
@@ -116,8 +116,7 @@ V6_EXTRA = {"e": EVENT_DAYS, "v6d": V6_DAILY, "up": V6_UP, "st": STREAK.format(t
 
 def v6(spark, d):
     h = rel.obs_hourly(spark, d)
-    days = event_days(spark, d).withColumn("status_siaga", F.coalesce("status_siaga", F.lit("Aman")))
-    return datasets.dataset_v6(days, h, h.select("loc", "time", "upstream_precipitation"))
+    return datasets.dataset_v6(event_days(spark, d), h, h.select("loc", "time", "upstream_precipitation"))
 
 
 @query(oracle("loc tanggal:t " + typed(config.FEATURES_V6) + " label:i status_siaga", V6_SQL, "obs_hourly", V6_EXTRA))

@@ -28,6 +28,22 @@ def axis_of(bounds: DataFrame, start: str = "start", end: str = "end", step: str
     return bounds.withColumn(name, F.explode(F.expr(f"sequence({start}, {end}, interval {step})"))).drop(start, end)
 
 
+def grid(
+    keys: DataFrame, start: Column, end: Column, step: str = "1 hour", time: str = "time", span: str = "90 days"
+) -> DataFrame:
+    """Every step from start to end for each row of ``keys``.
+
+    The steps are laid out in two rounds: first one row per span, spread over the tasks, then the
+    steps inside it. A long series is thus built by many tasks, and only span rows are shuffled.
+    """
+    by = keys.columns
+    spans = axis_of(keys.withColumns({"_start": start, "_end": end}).select(*by, "_end", F.col("_start").alias("start"), F.col("_end").alias("end")), step=span, name="_from")
+    spread = spans.repartition(*by, "_from")
+    last = F.least(F.col("_end"), F.expr(f"_from + interval {span} - interval {step}"))
+    bounds = spread.withColumn("end", last).withColumnRenamed("_from", "start").drop("_end")
+    return axis_of(bounds, step=step, name=time)
+
+
 def gap_fill(
     df: DataFrame,
     defaults: Mapping[str, float],
@@ -45,8 +61,8 @@ def gap_fill(
     span = df.select(F.struct(F.min(time).alias("a"), F.max(time).alias("b")).alias("span"))
     start = start if start is not None else span.scalar().getField("a")
     end = end if end is not None else span.scalar().getField("b")
-    grid = axis_of(df.select(by).distinct().select(by, start.alias("start"), end.alias("end")), step=step, name=time)
-    return grid.join(df, [by, time], "left").select(
+    dense = grid(df.select(by).distinct(), start, end, step, time)
+    return dense.join(df, [by, time], "left").select(
         by,
         time,
         *[

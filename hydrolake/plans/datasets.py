@@ -136,7 +136,8 @@ def _join_events(df: DataFrame, hourly: DataFrame, upstream: DataFrame | None, b
             "drain_capacity_index": clip(F.col("rain_cumsum_7d") / F.lit(config.DRAIN_CAPACITY_MM), 0, 2),
         }
     ).drop("night_rain_total")
-    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in config.EVENT_FEATURES})
+    amounts = [c for c in config.EVENT_FEATURES if c != "tide_rain_sync"]
+    return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in amounts})
 
 
 def dataset_v4(daily: DataFrame, by: str = "loc", date: str = "tanggal", exclude_current: bool = True, order: Sequence[str | Column] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrolake.operators import metrics
@@ -70,13 +70,9 @@ def positive_probability(model: PipelineModel, df: DataFrame, name: str = "score
 
 def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     """(feature, importance) of a tree model, or (feature, coefficient size) of a linear one."""
-    spark = model.stages[0]._java_obj and model  # a fitted model carries its session
     last = model.stages[-1]
     values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
-    from pyspark.sql import SparkSession
-
-    session = SparkSession.getActiveSession()
-    return session.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
+    return SparkSession.active().createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
 
 
 def dominant(table: DataFrame, limit: float = 0.15) -> DataFrame:

@@ -57,7 +57,10 @@ def obs_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def obs_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense hourly series per location with rain, soil, wind, upstream rain and tide."""
     defaults = {**config.HOURLY_DEFAULTS, "upstream_precipitation": 0.0}
-    dense = gap_fill(obs_sparse(spark, sf_dir), defaults)
+    # the time span comes from the raw column: a scan without a shuffle
+    hours = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    span = table(spark, sf_dir, "events").select(F.struct(F.min(hours).alias("a"), F.max(hours).alias("b"))).scalar()
+    dense = gap_fill(obs_sparse(spark, sf_dir), defaults, start=span.getField("a"), end=span.getField("b"))
     hr = calendar.hour_number("time") - EPOCH_DAY_2024 * 24
     phase = (hr.cast("double") + F.lit(0.5) * F.col("loc")) * F.lit(2 * math.pi)
     m2, k1 = config.CONSTITUENT_PERIOD_H["M2"], config.CONSTITUENT_PERIOD_H["K1"]
