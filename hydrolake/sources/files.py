@@ -40,7 +40,8 @@ def json_arrays_to_rows(raw: DataFrame, block: str, fields: Mapping[str, str], c
     """
     arrays = T.StructType([T.StructField("time", T.ArrayType(T.StringType()))] + [T.StructField(f, T.ArrayType(T.DoubleType())) for f in fields])
     parsed = raw.select(*keep, F.from_json(column, T.StructType([T.StructField(block, arrays)])).alias("_j"))
-    zipped = F.arrays_zip(*[F.col(f"_j.{block}.{f}").alias(f) for f in ["time", *fields]])
+    present = lambda f: F.coalesce(F.col(f"_j.{block}.{f}"), F.array())
+    zipped = F.arrays_zip(*[present(f).alias(f) for f in ["time", *fields]])
     rows = parsed.select(*keep, F.explode(zipped).alias("_r"))
     return rows.select(
         *keep,
@@ -51,7 +52,7 @@ def json_arrays_to_rows(raw: DataFrame, block: str, fields: Mapping[str, str], c
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """A folder of JSON responses, one document per file, as column ``value`` with its file name."""
-    return spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    return spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
 
 
 def attach_values(axis: DataFrame, values: str, name: str, time: str = "time") -> DataFrame:
@@ -97,7 +98,7 @@ def geojson_features(raw: DataFrame, properties: Mapping[str, str], column: str
 
 def read_geojson(spark: SparkSession, path: str, properties: Mapping[str, str] | None = None) -> DataFrame:
     props = properties or {"NAMOBJ": "string", "mean_elev": "double", "risk_pct": "double"}
-    return geojson_features(spark.read.option("wholetext", True).text(path), props)
+    return geojson_features(spark.read.text(path, wholetext=True), props)
 
 
 def feature_text(df: DataFrame, properties: Sequence[str], ring: str = "ring") -> DataFrame:

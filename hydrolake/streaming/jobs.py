@@ -17,9 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hydrolake import config
 from hydrolake.functions import risk
-from hydrolake.functions.numeric import flag
 
 LATENESS = "2 hours"
+READING_MM = 0.25  # rain per counted unit
 
 
 def read_gauges(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -125,7 +125,7 @@ def api_frame(readings: DataFrame, k: float = config.API_DECAY) -> DataFrame:
 
 def scored_frame(readings: DataFrame) -> DataFrame:
     """Depth and status per rain reading."""
-    depth = risk.formula_depth("value", F.lit(config.TIDE_HIGH)) / 4
+    depth = risk.formula_depth(F.col("value") * READING_MM, F.lit(config.TIDE_HIGH))
     return rain(readings).select("event_id", "loc", "ts", depth.alias("depth_cm")).withColumn("status", risk.risk_label("depth_cm"))
 
 
