@@ -24,7 +24,7 @@ def hourly(spark, d):
 
 
 def daily(spark, d):
-    return series.row_index(rel.obs_daily(spark, d), "tanggal")
+    return series.row_index(rel.obs_daily(spark, d), "tanggal", bucket=F.trunc("tanggal", "year"))
 
 
 @query(oracle("loc time:t rain_3h:d rain_24h:d rain_72h:d rain_168h:d", f"""

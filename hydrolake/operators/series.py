@@ -134,6 +134,21 @@ class Series:
         out = agg(col(value)).over(w)
         return out if min_rows <= 1 else F.when(F.count(col(value)).over(w) >= min_rows, out)
 
+    def count_last(self, condition: Column, n: int, name: str, exclude_current: bool = False) -> "Series":
+        """Add ``name``: how many of the last n rows meet the condition (n earlier rows if excluding).
+
+        Counts are whole numbers, so a running count and its value n rows back give the exact result
+        at a cost per row that does not grow with n.
+        """
+        self._reach(n if exclude_current else n - 1)
+        running = F.sum(F.when(condition, 1).otherwise(0)).over(self.window.rowsBetween(W.unboundedPreceding, 0))
+        self.add(**{f"_run_{name}": running})
+        near, far = (1, n + 1) if exclude_current else (0, n)
+        w = self.window
+        upto = F.lag(f"_run_{name}", near).over(w) if near else F.col(f"_run_{name}")
+        # beyond the first row of the chunk nothing has been counted yet
+        return self.add(**{name: F.coalesce(upto, F.lit(0)) - F.coalesce(F.lag(f"_run_{name}", far).over(w), F.lit(0))})
+
     def stacked_sum(self, rolled: str, n: int, times: int) -> Column:
         """Sum over n*times rows from an n-row rolling sum: ``times`` lags instead of n*times adds."""
         self._reach(n * times - 1)

@@ -15,6 +15,11 @@ from hydrolake.operators.ranking import dedupe
 from hydrolake.operators.series import INDEX, Series
 
 
+def _indexed(daily: DataFrame, date: str, by: str) -> DataFrame:
+    """Row numbers of daily rows; a year of days is a fair bucket."""
+    return series.row_index(daily, date, by, bucket=F.trunc(date, "year"))
+
+
 def class_labels(df: DataFrame, status: str = "status_siaga") -> DataFrame:
     """label 0/1/2 (NULL for an unknown status) and the binary flood-risk flag."""
     label = F.lit(None).cast("int")
@@ -51,7 +56,7 @@ def dataset_v1(daily: DataFrame, by: str = "loc", date: str = "tanggal", k: floa
     ``daily``: curah_hujan_mm, durasi_hujan_jam, pasut_msl_max. Missing rain or duration counts as 0.
     """
     filled = daily.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("curah_hujan_mm", "durasi_hujan_jam")})
-    indexed = series.row_index(filled, date, by)
+    indexed = _indexed(filled, date, by)
     s = Series(indexed, by, back=3)
     s.add(
         pasut_slope=s.diff("pasut_msl_max", 1),
@@ -65,7 +70,7 @@ def dataset_v1(daily: DataFrame, by: str = "loc", date: str = "tanggal", k: floa
 
 def dataset_v0(daily: DataFrame, by: str = "loc", date: str = "tanggal") -> DataFrame:
     """Four columns: rain, duration, yesterday's rain, strict three-day total; incomplete rows dropped."""
-    s = Series(series.row_index(daily, date, by), by, back=2)
+    s = Series(_indexed(daily, date, by), by, back=2)
     s.add(hujan_kemarin=s.lag("curah_hujan_mm", 1), hujan_akumulasi_3hari=s.rolling("curah_hujan_mm", 3, min_rows=3))
     return s.rows().na.drop()
 
@@ -77,7 +82,7 @@ def dataset_v2(labels: DataFrame, hourly: DataFrame, by: str = "loc") -> DataFra
 
 def dataset_v3(daily: DataFrame, by: str = "loc", date: str = "tanggal") -> DataFrame:
     """14 features: seven lags, three-hour proxy, finite index."""
-    s = Series(series.row_index(daily, date, by), by, back=7)
+    s = Series(_indexed(daily, date, by), by, back=7)
     s.add(**{f"hujan_lag{i}": F.coalesce(s.lag("rain_sum_imputed", i), F.lit(0.0)) for i in range(1, 8)})
     s.add(
         rain_rolling_3h=F.col("rain_intensity_max") * 3,
@@ -92,15 +97,12 @@ def _labelled_days(daily: DataFrame, by: str, date: str, order: Sequence[str | C
 
 
 def _add_v4_windows(s: Series, exclude_current: bool) -> None:
-    frame = s.window.rowsBetween(-30, -1) if exclude_current else s.window.rowsBetween(-29, 0)
-    y = F.col("label")
     s.add(
         **{f"rain_lag{i}": F.coalesce(s.lag("rain_sum_imputed", i), F.lit(0.0)) for i in range(1, 8)},
         rain_cumsum_3d=s.rolling("rain_sum_imputed", 3),
         rain_cumsum_7d=s.rolling("rain_sum_imputed", 7),
-        prev_flood_30d=F.coalesce(F.sum(flag(y == 2)).over(frame), F.lit(0)),
-        prev_meluap_30d=F.coalesce(F.sum(flag(y >= 1)).over(frame), F.lit(0)),
     )
+    rolling.add_flood_history(s, 30, exclude_current)
 
 
 def _add_v6_windows(s: Series, indexed: DataFrame) -> None:
@@ -146,14 +148,14 @@ def dataset_v4(daily: DataFrame, by: str = "loc", date: str = "tanggal", exclude
     ``exclude_current=False`` lets the flood history count the day's own label (target leakage).
     ``order`` decides which of several rows of a day stays.
     """
-    s = Series(series.row_index(_labelled_days(daily, by, date, order), date, by), by, back=30)
+    s = Series(_indexed(_labelled_days(daily, by, date, order), date, by), by, back=30)
     _add_v4_windows(s, exclude_current)
     return _v4_columns(s.rows(), date).select(by, date, *config.FEATURES_V4, "label", "status_siaga")
 
 
 def add_v6_features(v4: DataFrame, hourly: DataFrame, upstream: DataFrame | None, by: str = "loc", date: str = "tanggal") -> DataFrame:
     """Ten event features on top of a stored 25-feature table."""
-    indexed = series.row_index(v4, date, by)
+    indexed = _indexed(v4, date, by)
     s = Series(indexed, by, back=3)
     _add_v6_windows(s, indexed)
     return _join_events(s.rows(), hourly, upstream, by, date)
@@ -162,7 +164,7 @@ def add_v6_features(v4: DataFrame, hourly: DataFrame, upstream: DataFrame | None
 def dataset_v6(daily: DataFrame, hourly: DataFrame, upstream: DataFrame | None, by: str = "loc", date: str = "tanggal", exclude_current: bool = True, order: Sequence[str | Column] | None = None) -> DataFrame:
     """35 features. The windows of both steps run in one pass over the day series; hourly values come
     through one aggregate and one join."""
-    indexed = series.row_index(_labelled_days(daily, by, date, order), date, by)
+    indexed = _indexed(_labelled_days(daily, by, date, order), date, by)
     s = Series(indexed, by, back=30)
     _add_v4_windows(s, exclude_current)
     _add_v6_windows(s, indexed)

@@ -30,31 +30,33 @@ def open_hourly(
 
 def add_hourly_features(s: Series, indexed: DataFrame, time: str = "time") -> Series:
     """All 37 features in one shuffle: every window shares partitioning and sort order."""
-    df, rain = s.df, F.col("precipitation")
-    tide = F.col("est")
+    df, rain, tide = s.df, F.col("precipitation"), F.col("est")
+    surface, root = _or_default(df, "soil_moisture_surface", 0.4), _or_default(df, "soil_moisture_root", 0.4)
+    s.add(soil_saturation_index=(surface + root) / 2)
     s.add(
-        rain_intensity_max=rain,
-        pasut_msl_max=tide,
-        soil_moisture_surface_mean=_or_default(df, "soil_moisture_surface", 0.4),
-        soil_moisture_root_mean=_or_default(df, "soil_moisture_root", 0.4),
-        upstream_rain_6h=_or_default(df, "upstream_precipitation", 0.0),
         wind_speed_max=s.rolling("wind_speed", 24, F.max) if "wind_speed" in df.columns else F.lit(0.0),
         rain_sum_imputed=s.rolling(rain, 24),
         rain_intensity_3h=s.rolling(rain, 3),
-        rain_burst_count=s.rolling(flag(rain > config.RAIN_BURST), 24).cast("double"),
         _smooth=s.rolling(rain, 3, F.avg),
-        soil_saturation_index=(_or_default(df, "soil_moisture_surface", 0.4) + _or_default(df, "soil_moisture_root", 0.4)) / 2,
+        soil_saturation_trend=s.diff("soil_saturation_index", 72),
         **{f"rain_lag{k}": F.coalesce(s.day_total(rain, k), F.lit(0.0)) for k in range(1, 8)},
     )
     s.add(
         rain_cumsum_3d=s.stacked_sum("rain_sum_imputed", 24, 3),
         rain_cumsum_7d=s.stacked_sum("rain_sum_imputed", 24, 7),
-        soil_saturation_trend=s.diff("soil_saturation_index", 72),
         rainfall_acceleration=s.diff("_smooth", 1),
     )
+    s.count_last(rain > config.RAIN_BURST, 24, "rain_burst_count")
     s.run_length("_wet_hours", F.coalesce(rain > 0, F.lit(False)), indexed)
+    # what needs no window comes last, so that the windows carry narrow rows
     day_rain = F.col("rain_sum_imputed")
     return s.add(
+        rain_intensity_max=rain,
+        pasut_msl_max=tide,
+        soil_moisture_surface_mean=surface,
+        soil_moisture_root_mean=root,
+        upstream_rain_6h=_or_default(df, "upstream_precipitation", 0.0),
+        rain_burst_count=F.col("rain_burst_count").cast("double"),
         consecutive_rain_days=F.col("_wet_hours") / F.lit(24.0),
         api_7day=decayed([day_rain, *[F.col(c) for c in config.LAG_FEATURES]], config.API_DECAY),
         tide_rain_interaction=tide * day_rain,

@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hydrolake import config
 from hydrolake.functions import calendar
@@ -19,8 +20,15 @@ EPOCH_DAY_2024 = 19723  # 2024-01-01
 EPOCH_DAY_1995 = 9131  # 1995-01-01
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A star-schema table. Its schema is read from the file once; later reads start no job for it."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def gauge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
