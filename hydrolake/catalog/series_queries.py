@@ -100,14 +100,8 @@ from (select loc, tanggal, case when status_siaga='Banjir' then 1 else 0 end as
 def flood_history_30d(spark, d):
     label = F.when(F.col("status_siaga") == "Banjir", 2).when(F.col("status_siaga") == "Air Meluap", 1).otherwise(0)
     s = series.Series(daily(spark, d).withColumn("label", label), back=30)
-    before, upto = s.window.rowsBetween(-30, -1), s.window.rowsBetween(-29, 0)
-    flood, over = numeric.flag(F.col("label") == 2), numeric.flag(F.col("label") >= 1)
-    s.add(
-        prev_flood_30d=F.coalesce(F.sum(flood).over(before), F.lit(0)),
-        prev_meluap_30d=F.coalesce(F.sum(over).over(before), F.lit(0)),
-        flood_incl=F.sum(flood).over(upto),
-        meluap_incl=F.sum(over).over(upto),
-    )
+    rolling.add_flood_history(s, 30)
+    s.count_last(30, flood_incl=F.col("label") == 2, meluap_incl=F.col("label") >= 1)
     return s.rows().select("loc", "tanggal", "prev_flood_30d", "prev_meluap_30d", "flood_incl", "meluap_incl")
 
 

@@ -64,7 +64,7 @@ def class_rank(df: DataFrame, label: str, key: str | Sequence[str], seed: int =
     inside = F.row_number().over(W.partitionBy(label, "_slot").orderBy("_hash"))
     return (
         hashed.withColumn("_rank", inside)
-        .join(offsets, [label, "_slot"])
+        .join(offsets.hint("merge"), [label, "_slot"])
         .withColumn("_rank", F.col("_rank") + F.col("_shift"))
         .drop("_slot", "_shift", "_hash")
     )

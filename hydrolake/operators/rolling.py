@@ -33,7 +33,7 @@ def rolling_rain(df: DataFrame, rain: str = "precipitation", by: By = "loc", siz
 
 def burst_count(df: DataFrame, rain: str = "precipitation", n: int = 24, by: By = "loc", size: int | None = None) -> DataFrame:
     s = Series(df, by, back=n - 1, size=size)
-    return s.count_last(F.col(rain) > config.RAIN_BURST, n, "rain_burst_count").rows().drop("_run_rain_burst_count")
+    return s.count_last(n, rain_burst_count=F.col(rain) > config.RAIN_BURST).rows()
 
 
 def rain_duration(df: DataFrame, rain: str = "precipitation", n: int = 24, by: By = "loc", size: int | None = None) -> DataFrame:
@@ -71,13 +71,11 @@ def flood_history(df: DataFrame, n: int = 30, exclude_current: bool = True, labe
     ``exclude_current=False`` counts the row's own label too, which leaks the target.
     """
     s = Series(df, by, back=n, size=size)
-    add_flood_history(s, n, exclude_current, label)
-    return s.rows().drop("_run_prev_flood_30d", "_run_prev_meluap_30d")
+    return add_flood_history(s, n, exclude_current, label).rows()
 
 
 def add_flood_history(s: Series, n: int = 30, exclude_current: bool = True, label: str = "label") -> Series:
-    s.count_last(F.col(label) == 2, n, "prev_flood_30d", exclude_current)
-    return s.count_last(F.col(label) >= 1, n, "prev_meluap_30d", exclude_current)
+    return s.count_last(n, exclude_current, prev_flood_30d=F.col(label) == 2, prev_meluap_30d=F.col(label) >= 1)
 
 
 def rain_streaks(df: DataFrame, rain: str, name: str, by: By = "loc", size: int = 4096) -> DataFrame:

@@ -27,6 +27,11 @@ CHUNK = "_chunk"
 INDEX = "_index"
 OWN = "_own"
 
+# Join strategy for tables with one row per chunk or bucket: the wide side is already partitioned and
+# sorted by the join keys for its windows, so a merge join moves only the small side. Left to itself
+# the optimizer may turn the join around and run the wide side's windows in the small side's tasks.
+IN_PLACE = "merge"
+
 HOURS_PER_CHUNK = 2016  # 84 days, a whole number of days
 ROWS_PER_CHUNK = 4096
 
@@ -63,7 +68,7 @@ def row_index(
     within = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return (
         df.withColumn(INDEX, within)
-        .join(offsets, keys)
+        .join(offsets.hint(IN_PLACE), keys)
         .withColumn(INDEX, (F.col(INDEX) + F.col("_offset") - 1).cast("long"))
         .drop("_bucket", "_offset")
     )
@@ -134,20 +139,25 @@ class Series:
         out = agg(col(value)).over(w)
         return out if min_rows <= 1 else F.when(F.count(col(value)).over(w) >= min_rows, out)
 
-    def count_last(self, condition: Column, n: int, name: str, exclude_current: bool = False) -> "Series":
-        """Add ``name``: how many of the last n rows meet the condition (n earlier rows if excluding).
+    def count_last(self, n: int, exclude_current: bool = False, **conditions: Column) -> "Series":
+        """Add, per condition, how many of the last n rows meet it (of the n rows before, if excluding).
 
-        Counts are whole numbers, so a running count and its value n rows back give the exact result
-        at a cost per row that does not grow with n.
+        Counts are whole numbers, so a running count minus its value n rows back is exact, at a cost
+        per row that does not grow with n.
         """
-        self._reach(n if exclude_current else n - 1)
-        running = F.sum(F.when(condition, 1).otherwise(0)).over(self.window.rowsBetween(W.unboundedPreceding, 0))
-        self.add(**{f"_run_{name}": running})
         near, far = (1, n + 1) if exclude_current else (0, n)
+        self._reach(n if exclude_current else n - 1)
         w = self.window
-        upto = F.lag(f"_run_{name}", near).over(w) if near else F.col(f"_run_{name}")
-        # beyond the first row of the chunk nothing has been counted yet
-        return self.add(**{name: F.coalesce(upto, F.lit(0)) - F.coalesce(F.lag(f"_run_{name}", far).over(w), F.lit(0))})
+        running = w.rowsBetween(W.unboundedPreceding, 0)
+        self.add(**{f"_run_{c}": F.sum(F.when(cond, 1).otherwise(0)).over(running) for c, cond in conditions.items()})
+
+        def at(c: str, k: int) -> Column:
+            # beyond the first row of the chunk nothing has been counted yet
+            return F.coalesce(F.lag(f"_run_{c}", k).over(w), F.lit(0)) if k else F.col(f"_run_{c}")
+
+        self.add(**{c: at(c, near) - at(c, far) for c in conditions})
+        self.df = self.df.drop(*[f"_run_{c}" for c in conditions])
+        return self
 
     def stacked_sum(self, rolled: str, n: int, times: int) -> Column:
         """Sum over n*times rows from an n-row rolling sum: ``times`` lags instead of n*times adds."""
@@ -194,7 +204,7 @@ class Series:
         carry = last_unset(source, flag, self.by, self.size)
         seen = F.max(F.when(~flag, F.col(INDEX))).over(self.window.rowsBetween(W.unboundedPreceding, 0))
         self.df = (
-            self.df.join(carry, self.keys, "left")
+            self.df.join(carry.hint(IN_PLACE), self.keys, "left")
             .withColumn(name, F.when(flag, F.col(INDEX) - F.coalesce(seen, F.col("_before"))).otherwise(F.lit(0)))
             .drop("_before")
         )
@@ -267,7 +277,7 @@ def recursive_index(
     running = W.partitionBy(*by, CHUNK).orderBy(INDEX).rowsBetween(W.unboundedPreceding, 0)
     local = F.pow(F.lit(k), place) * F.sum(x * F.pow(F.lit(k), -place)).over(running)
     return (
-        base.join(carry, [*by, CHUNK], "left")
+        base.join(carry.hint(IN_PLACE), [*by, CHUNK], "left")
         .withColumn(name, local + F.pow(F.lit(k), place + 1) * F.coalesce(F.col("_carry"), F.lit(0.0)))
         .drop(CHUNK, "_carry", INDEX)
     )
@@ -306,7 +316,7 @@ def backfill_first(
     )
     rest = W.partitionBy(*by, CHUNK).orderBy(INDEX).rowsBetween(0, W.unboundedFollowing)
     return (
-        own.join(carry, [*by, CHUNK], "left")
+        own.join(carry.hint(IN_PLACE), [*by, CHUNK], "left")
         .withColumn(name, F.coalesce(F.first("_lagged", ignorenulls=True).over(rest), F.col("_next")))
         .drop(CHUNK, "_lagged", "_next", INDEX)
     )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from hydrolake import config
 from hydrolake.functions import risk, spatial
-from hydrolake.functions.numeric import key_hash
 
 
 def zone_inundation(zones: DataFrame, tide: Column, rain: Column) -> DataFrame:
@@ -145,7 +144,3 @@ def require_wgs84(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFram
     """Fails the job on the first coordinate that cannot be WGS84 degrees."""
     ok = F.col(lon).between(-180, 180) & F.col(lat).between(-90, 90)
     return df.withColumn(lon, F.when(ok, F.col(lon)).otherwise(F.raise_error(F.lit("coordinates are not WGS84 degrees"))))
-
-
-def stable_points(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.orderBy(key_hash(key)).limit(n)

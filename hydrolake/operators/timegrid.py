@@ -196,7 +196,7 @@ def asof_join(
     carry = bins.join(newest, [by, "_bin"], "full").select(
         by, "_bin", F.last("_end", ignorenulls=True).over(earlier).alias("_carry")
     )
-    line = l.unionByName(r, allowMissingColumns=True).join(carry, [by, "_bin"], "left")
+    line = l.unionByName(r, allowMissingColumns=True).join(carry.hint("merge"), [by, "_bin"], "left")
     inside = W.partitionBy(by, "_bin").orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
     found = line.withColumn(
         "_m", F.coalesce(F.last("_r", ignorenulls=True).over(inside), F.col("_carry"))

@@ -46,7 +46,7 @@ def add_hourly_features(s: Series, indexed: DataFrame, time: str = "time") -> Se
         rain_cumsum_7d=s.stacked_sum("rain_sum_imputed", 24, 7),
         rainfall_acceleration=s.diff("_smooth", 1),
     )
-    s.count_last(rain > config.RAIN_BURST, 24, "rain_burst_count")
+    s.count_last(24, rain_burst_count=rain > config.RAIN_BURST)
     s.run_length("_wet_hours", F.coalesce(rain > 0, F.lit(False)), indexed)
     # what needs no window comes last, so that the windows carry narrow rows
     day_rain = F.col("rain_sum_imputed")
