@@ -88,6 +88,20 @@ def kfold_assign(df: DataFrame, label: str, key, k: int = 10, seed: int = 42) ->
     return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_n")
 
 
+def repeat_rows(df: DataFrame, copies: Column, keys: Sequence[str], name: str = "copy", block: int = 1024) -> DataFrame:
+    """Each row ``copies`` times, numbered from 1; rows with none are dropped.
+
+    A row of a rare class may be repeated without limit, so the repeats are laid out in blocks that
+    are spread over the tasks before they are written out.
+    """
+    rows = df.withColumn("_copies", copies.cast("long")).where(F.col("_copies") > 0)
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {block}"))))
+    spread = blocks.repartition(*keys, "_block")
+    first = F.col("_block") * block
+    numbers = F.sequence(first + 1, F.least(F.col("_copies"), first + block))
+    return spread.withColumn(name, F.explode(numbers)).drop("_copies", "_block")
+
+
 def upsample(df: DataFrame, label: str, key, seed: int = 42) -> DataFrame:
     """Repeat rows until every class is as large as the largest; ``copy`` numbers the repeats from 1.
 
@@ -96,8 +110,9 @@ def upsample(df: DataFrame, label: str, key, seed: int = 42) -> DataFrame:
     """
     biggest = class_counts(df, label).agg(F.max("n").alias("m")).scalar()
     ranked = class_rank(df, label, key, seed).withColumn("_m", biggest)
-    copies = F.expr("cast(_m div _n as int)") + F.when(F.col("_rank") <= F.col("_m") % F.col("_n"), 1).otherwise(0)
-    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("_rank", "_n", "_m")
+    copies = F.expr("_m div _n") + F.when(F.col("_rank") <= F.col("_m") % F.col("_n"), 1).otherwise(0)
+    keys = [key] if isinstance(key, str) else list(key)
+    return repeat_rows(ranked, copies, keys).drop("_rank", "_n", "_m")
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -13,6 +13,10 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key's join partition even where that costs one more shuffle afterwards
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # fold readings into spells before the shuffle by place
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

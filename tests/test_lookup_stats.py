@@ -107,6 +107,13 @@ def test_upsample_reaches_largest_class(classes):
     assert up.select("id").distinct().count() == 3000
 
 
+def test_rows_repeat_in_blocks(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, 2500)], "k int, n int")
+    got = ranking.repeat_rows(df, F.col("n"), ["k"], block=100)
+    assert {(r.k, r.c, r.lo, r.hi) for r in got.groupBy("k").agg(F.countDistinct("copy").alias("c"), F.min("copy").alias("lo"), F.max("copy").alias("hi")).collect()} == {(2, 1, 1, 1), (3, 2500, 1, 2500)}
+    assert got.count() == 2501
+
+
 def test_dedupe_folds_copies(spark):
     df = spark.createDataFrame([(1, 5, "b"), (1, 3, "a"), (2, 1, "c")] + [(3, i, "z") for i in range(500)], "k int, o int, v string")
     assert {r.k: (r.o, r.v) for r in ranking.dedupe(df, ["k"], ["o"]).collect()} == {1: (3, "a"), 2: (1, "c"), 3: (0, "z")}
