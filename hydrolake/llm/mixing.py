@@ -29,7 +29,7 @@ SHARE = 1.5
 MOST = 2.0
 GOLDEN = 0.6180339887498949
 #: Slots and documents numbered in one task at once.
-RANGE = 4096
+RANGE = 1024
 #: Cells of the weight line by which slots meet sources.
 CELLS = 1024
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import mixing, packing, url_filter
-from hydrolake.llm.common import table
+from hydrolake.llm import fuzzy_hash, importance, language_id, license_scan, mixing, near_duplicates, neighbour_graph, packing, recurrent_lm, url_filter
+from hydrolake.llm.common import fold, table
 
 
 def vocabulary() -> str:
@@ -41,6 +41,25 @@ from h left join m on h.page_id = m.page_id
 """
 
 
+def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op2_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_graph.search(table(spark, sf_dir, "embeddings"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(fold("doc_id") != 0))
+    found = language_id.identify(docs.select("doc_id", "text", (fold("doc_id") == 0).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
@@ -51,11 +70,27 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.drop("text")
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.joined(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+def op9_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_hash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_url_filter, op6_source_mix, op10_packing)
+    f.__name__: f for f in (
+        op1_recurrent_lm, op2_neighbour_graph, op3_language_id, op4_license_scan, op5_url_filter, op6_source_mix, op7_importance,
+        op8_near_duplicates, op9_fuzzy_hash, op10_packing,
+    )
 }
 ORACLES: dict[str, str] = {"op5_url_filter": URL_SQL, "op6_source_mix": mixing.ORACLE}
