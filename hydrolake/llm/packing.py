@@ -31,13 +31,17 @@ END_ID = 0
 #: Documents packed by one task.
 GROUP = 30_000
 #: Encoded runs that a worker keeps; the dictionary starts anew beyond.
-KEPT_RUNS = 400_000
+KEPT_RUNS = 1_200_000
+#: Characters whose runs are held at once.
+HELD_CHARS = 2_000_000
+#: Letters whose lower case depends on their place; texts with them are left to the tokenizer as they are.
+UNLIKE = "\u03a3\u0130"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _h long"
 
 
 class Encoder(dict):
-    """Bytes of a run's ids (little-endian, 32 bits), encoded on first sight."""
+    """Bytes of a run's ids (little-endian, 32 bits), encoded on first sight, many runs at once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,31 +49,64 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        # a special token parts the runs that are encoded together; runs that hold its text go alone
+        parting = max(((a.content, i) for i, a in self.tokenizer.get_added_tokens_decoder().items() if a.special), default=(None, -1), key=lambda x: x[1])
+        self.parting, self.parting_id = parting
         self[""] = b""
 
-    def learn(self, runs: list[str]) -> None:
-        new = list({r for r in runs if r not in self})
+    def learn(self, runs: set[str]) -> None:
+        new = [r for r in runs if r not in self]
         if len(self) + len(new) > KEPT_RUNS:
             self.clear()
             self[""] = b""
-            new = list(set(runs))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for run, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self[run] = np.array(found.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """The whole text's ids; a long text goes through in parts, so that the dictionary stays bounded."""
-        runs = text.replace("\n", " ").replace("\t", " ").split(" ")
-        out = []
-        for at in range(0, len(runs), 50_000):
-            part = runs[at : at + 50_000]
-            try:
-                out.append(b"".join(map(self.__getitem__, part)))
-            except KeyError:
-                self.learn(part)
-                out.append(b"".join(map(self.__getitem__, part)))
-        return b"".join(out)
+            new = [r for r in runs if r]
+        alone = [r for r in new if self.parting is None or "<" in r]
+        together = [r for r in new if not (self.parting is None or "<" in r)]
+        for run, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self[run] = np.array(found.ids, "<u4").tobytes()
+        parts = [together[at : at + 256] for at in range(0, len(together), 256)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([self.parting.join(x) for x in parts], add_special_tokens=False) if parts else ()):
+            ids = np.array(found.ids, "<u4")
+            raw, ends = ids.tobytes(), [*np.flatnonzero(ids == self.parting_id).tolist(), len(ids)]
+            if len(ends) != len(part):
+                raise ValueError("a run reaches beyond its place")
+            at = 0
+            for run, end in zip(part, ends):
+                self[run] = raw[4 * at : 4 * end]
+                at = end + 1
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The whole texts' ids; long texts are cut at blanks, so that few runs are held at once."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            self.learn({r for _, runs in held for r in runs})
+            for k, runs in held:
+                out[k].append(b"".join(map(self.__getitem__, runs)))
+            held.clear()
+
+        for k, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = at + HELD_CHARS
+                if end < len(text):
+                    end = text.find(" ", end)
+                    end = len(text) if end < 0 else end
+                else:
+                    end = len(text)
+                part = text[at:end]
+                if not any(c in part for c in UNLIKE):
+                    part = part.lower()
+                held.append((k, part.replace("\n", " ").replace("\t", " ").split(" ")))
+                size += end - at
+                at = end
+                if size >= HELD_CHARS:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(x) for x in out]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -88,10 +125,10 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         e = encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            coded = e.ids([t or "" for t in batch.column(1).to_pylist()])
             rows = []
-            for doc, text, h in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
-                ids = e.ids(text or "") + end
+            for doc, ids, h in zip(batch.column(0).to_pylist(), coded, batch.column(2).to_pylist()):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), h))
