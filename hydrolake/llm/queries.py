@@ -87,10 +87,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_recurrent_lm, op2_neighbour_graph, op3_language_id, op4_license_scan, op5_url_filter, op6_source_mix, op7_importance,
-        op8_near_duplicates, op9_fuzzy_hash, op10_packing,
+        op8_near_duplicates, op9_fuzzy_hash, op10_packing, pipeline,
     )
 }
 ORACLES: dict[str, str] = {"op5_url_filter": URL_SQL, "op6_source_mix": mixing.ORACLE}

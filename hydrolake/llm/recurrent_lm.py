@@ -38,7 +38,7 @@ HIDDEN = 16
 FREQUENT = 1 << 18
 RARE = 9
 WINDOW = 20
-TRAIN_LANES = 128
+TRAIN_LANES = 192
 SCORE_LANES = 512
 #: Tokens that a task holds at once.
 CHUNK = 2_000_000
