@@ -10,7 +10,7 @@ the middle of each. That sample is the only bounded thing here; every whole text
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; languages that fit equally well: the first
 in code point order; with nothing learned every text is ``und``; a single learned language has score 1; letters that the
-sample lacks end a phrase in every language. All columns of the input stay; of the same names, these replace the input's.
+sample lacks are phrases of their own. All columns of the input stay; of the same names, these replace the input's.
 """
 
 from __future__ import annotations
@@ -120,13 +120,15 @@ def joined_model(tables: dict[str, np.ndarray], letters: str) -> Model:
     width, parts, roots, base = len(letters) + 3, [], [], 0
     for language in sorted(tables):
         t = tables[language]
-        at_root = np.where(t[0] >= 0, t[0], 0)
-        moves = np.where(t >= 0, t, at_root[None, :])
-        ends = t < 0
-        moves[:, width - 1], ends[:, width - 1] = np.arange(len(t)), False  # padding changes nothing
+        n = len(t)  # a last state, reached by a symbol that the language lacks; such a symbol is a phrase of its own
+        at_root = np.where(t[0] >= 0, t[0], n)
+        moves = np.vstack([np.where(t >= 0, t, at_root), at_root])
+        ends = np.vstack([t < 0, np.ones((1, width), bool)])
+        ends[0] = False  # at the root no phrase has begun
+        moves[:, width - 1], ends[:, width - 1] = np.arange(n + 1), False  # padding changes nothing
         parts.append(((moves * width + base) * 2 + ends).astype(np.int64).ravel())
         roots.append(base)
-        base += t.size
+        base += moves.size
     table = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return Model(sorted(tables), letters, table.astype(np.int32) if base < 2**30 else table, np.array(roots, table.dtype))
 
