@@ -116,33 +116,37 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
                         (1 / (1 + F.exp(-4 * w / F.greatest(n, F.lit(1))))).alias("score"))
 
 
-def kth_key(keys: DataFrame, k: int) -> tuple[float, int | None] | None:
-    """The k-th of (key descending, id ascending), exactly; None where fewer rows exist. keys: columns key, id."""
-    n, low, high = keys.agg(F.count("*"), F.min("key"), F.max("key")).first()
-    if k >= n:
-        return None
-    inside = keys
+def _narrowed(rows: DataFrame, k: int) -> tuple[DataFrame, int, int, float, float]:
+    """Rows around the k-th largest key, at most FEW or all of one key; k among them, their number, least and largest key."""
+    n, low, high = rows.agg(F.count("*"), F.min("key"), F.max("key")).first()
     while n > FEW and high > low:
-        width = (high - low) / RANGES
+        width = high / RANGES - low / RANGES
         cell = F.least(F.lit(RANGES - 1), F.floor((F.col("key") - low) / width)).alias("cell")
-        counts = sorted(((r["cell"], r["n"], r["a"], r["b"]) for r in inside.groupBy(cell).agg(
-            F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect()), reverse=True)
-        for _, m, a, b in counts:
-            if k <= m:
-                n, low, high = m, a, b
+        counts = rows.groupBy(cell).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect()
+        for r in sorted(counts, key=lambda r: -r["cell"]):
+            if k <= r["n"]:
+                n, low, high = r["n"], r["a"], r["b"]
                 break
-            k -= m
-        inside = inside.where(F.col("key").between(low, high))
-    if high > low:
-        row = inside.orderBy(F.desc("key"), F.asc_nulls_first("id")).limit(k).orderBy("key", F.desc_nulls_last("id")).first()
-        return row["key"], row["id"]
-    # all that is left has one key: the id decides, sought in the same way
-    ids = inside.select(F.coalesce(-F.col("id").cast("double"), F.lit(float("inf"))).alias("key"), F.lit(None).cast("long").alias("id"))
-    if n <= FEW:
-        row = inside.orderBy(F.asc_nulls_first("id")).limit(k).orderBy(F.desc_nulls_last("id")).first()
-        return row["key"], row["id"]
-    found = kth_key(ids, k)
-    return low, None if found is None or found[0] == float("inf") else int(-found[0])
+            k -= r["n"]
+        rows = rows.where(F.col("key").between(low, high))
+    return rows, k, n, low, high
+
+
+def kth_key(keys: DataFrame, k: int) -> tuple[float, int | None] | None:
+    """The k-th of (key descending, id ascending, null first), exactly; None from the last row on. keys: columns key, id."""
+    if k >= keys.count():
+        return None
+    rows, k, n, low, high = _narrowed(keys, k)
+    if n > FEW:  # all of one key: the id decides, sought in the same way
+        nulls = rows.where("id is null").count()
+        if k <= nulls:
+            return low, None
+        rows, k, n, first, last = _narrowed(rows.where("id is not null").select((-F.col("id").cast("double")).alias("key"), "id"), k - nulls)
+        if n > FEW:  # repeated rows
+            return low, rows.agg(F.min("id")).first()[0]
+        return low, rows.orderBy("id").limit(k).orderBy(F.desc("id")).first()["id"]
+    row = rows.orderBy(F.desc("key"), F.asc_nulls_first("id")).limit(k).orderBy("key", F.desc_nulls_last("id")).first()
+    return row["key"], row["id"]
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
