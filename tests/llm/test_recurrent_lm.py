@@ -3,7 +3,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from hydrolake.llm import recurrent_lm as lm
 
@@ -66,7 +65,9 @@ def check(df, texts, held):
     total, distinct = sum(counts.values()), len(counts)
     rows = lm.score(df).collect()
     want = sorted((h, len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w), 6)) for w, h in zip(words, held))
-    assert sorted((r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in rows) == pytest.approx(want)
+    got = sorted((r["held_out"], r["n_tokens"], r["n_known"], r["base_score"]) for r in rows)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert max(abs(g[3] - w[3]) for g, w in zip(got, want)) < 1e-4
     assert {r["train_tokens"] for r in rows} == {total}
     assert all(math.isfinite(r["score"]) and r["score"] <= 1e-6 for r in rows)
     return rows
