@@ -70,11 +70,13 @@ def daily_v6_features(spark, d):
 
 
 @query(oracle("loc time:t precipitation:d upstream_precipitation:d", """
-select l.loc, l."time", l.precipitation, u.upstream_precipitation from obs_sparse l join obs_sparse u on u.loc = l.loc and u."time" + interval 6 hour = l."time" """, "obs_sparse"))
+select l.loc, l."time", l.precipitation, coalesce(u.upstream_precipitation, 0) as upstream_precipitation from obs_sparse l left join obs_sparse u on u.loc = l.loc and u."time" + interval 6 hour = l."time" """, "obs_sparse"))
 def upstream_lagged(spark, d):
     o = rel.obs_sparse(spark, d)
     up = timegrid.shift_time(o.select("loc", "time", "upstream_precipitation"), config.UPSTREAM_LAG_HOURS)
-    return o.select("loc", "time", "precipitation").join(up, ["loc", "time"])
+    # hours that are dry upstream have no row there
+    found = o.select("loc", "time", "precipitation").join(up, ["loc", "time"], "left")
+    return found.withColumn("upstream_precipitation", F.coalesce("upstream_precipitation", F.lit(0.0)))
 
 
 @query(oracle("loc time:t month:i month_sin:d month_cos:d is_rainy_season:i day_of_week:i is_weekend:i is_rainy_outlook:i hour_risk_factor:d", """

@@ -164,9 +164,9 @@ def as_of_time(spark, d):
 
 
 @query(oracle("loc tanggal:t api:d", f"""
-select loc, tanggal, list_reduce(list(rain_sum_imputed) over ({WD} rows between 255 preceding and current row), lambda a, x: a*0.85::double + x) as api from obs_daily""", "obs_daily"))
+select loc, tanggal, list_reduce(list(rain_sum_imputed) over ({WD} rows between unbounded preceding and current row), lambda a, x: a*0.85::double + x) as api from obs_daily""", "obs_daily"))
 def api_recursive(spark, d):
-    return rolling.api_recursive(daily(spark, d), "rain_sum_imputed", size=128).select("loc", "tanggal", "api")
+    return rolling.api_recursive(daily(spark, d), "rain_sum_imputed").select("loc", "tanggal", "api")
 
 
 LAG_API = " + ".join(f"power(0.85::double, {k})*coalesce(lag(rain_sum_imputed, {k}) over ({WD}), 0)" for k in range(1, 8))

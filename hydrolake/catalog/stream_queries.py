@@ -19,10 +19,25 @@ from hydrolake.streaming import jobs
 LAST = "(select max(ts) - interval 2 hour from events)"
 
 
-def run(spark, d, start, source=None):
+#: Files into which a replay cuts the events.
+SLICES = 4
+
+
+def replayed(spark, d, base):
+    """The events cut into files in time order, one of which makes a micro-batch."""
+    events = rel.table(spark, d, "events")
+    cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).approxQuantile("t", [k / SLICES for k in range(1, SLICES)], 0.01)
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events if low is None else events.where(t > low)
+        (part if high is None else part.where(t <= high)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return jobs.read_gauges(spark, f"{base}/in", files_per_batch=1)
+
+
+def run(spark, d, start, source=None, replay=False):
     """Drain the stream into a fresh folder below the shared one and read it back."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    readings = jobs.read_gauges(spark, d, "events.parquet")
+    readings = replayed(spark, d, base) if replay else jobs.read_gauges(spark, d, "events.parquet")
     q = start(source(readings) if source else readings, f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
@@ -80,15 +95,20 @@ def stream_log(spark, d):
     return run(spark, d, jobs.start_log).select("event_id", "loc", "depth_cm", "status")
 
 
-@query(oracle("loc status", f"select distinct user_id // 5 as loc, {STATUS} as status from events where event_type='purchase' and value > 0 and {DEPTH} >= 50"))
+SCORED = f"select user_id // 5 as loc, {STATUS} as status, ts from events where event_type='purchase' and value > 0 and {DEPTH} >= 50"
+ALERTS = """select loc, status, min(ts) as ts from scored group by all
+union all select a.loc, a.status, (select min(s.ts) from scored s where s.loc = a.loc and s.status = a.status and s.ts >= a.ts + interval 6 hour) from alerts a where a.ts is not null"""
+
+
+@query(f"with recursive scored as materialized ({SCORED}), alerts as ({ALERTS}) select loc, status, ts::varchar as ts from alerts where ts is not null")
 def stream_alerts(spark, d):
-    """All readings arrive in one batch here, so one alert per site and status remains."""
-    return run(spark, d, jobs.start_alerts, jobs.scored_frame).select("loc", "status")
+    alerts = run(spark, d, jobs.start_alerts, jobs.scored_frame, replay=True)
+    return alerts.select("loc", "status", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query(oracle("loc start:t rain:d upstream_rain:d", """
-select r.loc, r.start, r.rain, u.upstream_rain from (select loc, "time" as start, sum(value) as rain from gauge_events where event_type='purchase' group by 1, 2) r
-join (select loc, "time" + interval 6 hour as start, sum(value) as upstream_rain from gauge_events where event_type='error' group by 1, 2) u on u.loc = r.loc and u.start = r.start
+select r.loc, r.start, r.rain, coalesce(u.upstream_rain, 0) as upstream_rain from (select loc, "time" as start, sum(value) as rain from gauge_events where event_type='purchase' group by 1, 2) r
+left join (select loc, "time" + interval 6 hour as start, sum(value) as upstream_rain from gauge_events where event_type='error' group by 1, 2) u on u.loc = r.loc and u.start = r.start
 where r.start + interval 1 hour <= least((select max(ts) from events where event_type='purchase'), (select max(ts) + interval 6 hour from events where event_type='error')) - interval 2 hour""", "gauge_events"))
 def stream_upstream(spark, d):
-    return times(run(spark, d, jobs.start_upstream)).select("loc", "start", "rain", "upstream_rain")
+    return times(run(spark, d, jobs.start_upstream, replay=True)).select("loc", "start", "rain", "upstream_rain")

@@ -37,7 +37,7 @@ V1_COLUMNS = "curah_hujan_mm durasi_hujan_jam pasut_msl_max pasut_slope hujan_la
 @query(oracle("loc tanggal:t " + " ".join(f"{c}:d" for c in V1_COLUMNS.split()), f"""
 select loc, tanggal, curah_hujan_mm, durasi_hujan_jam, pasut_msl_max, coalesce(pasut_msl_max - lag(pasut_msl_max) over ({WD}), 0) as pasut_slope,
  {", ".join(f"coalesce(lag(curah_hujan_mm, {k}) over ({WD}), 0) as hujan_lag{k}" for k in (1, 2, 3))},
- list_reduce(list(curah_hujan_mm) over ({WD} rows between 255 preceding and current row), lambda a, x: a*0.85::double + x) as hujan_3days,
+ list_reduce(list(curah_hujan_mm) over ({WD} rows between unbounded preceding and current row), lambda a, x: a*0.85::double + x) as hujan_3days,
  coalesce(lag(pasut_msl_max) over ({WD}), pasut_msl_max) as pasut_max_lag1 from dur""", "obs_daily", {"dur": DUR}))
 def dataset_v1(spark, d):
     return datasets.dataset_v1(durations(spark, d)).select("loc", "tanggal", *V1_COLUMNS.split())

@@ -33,15 +33,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def label_encode(df: DataFrame, column: str, name: str = "encoded") -> DataFrame:
     """0-based position of each value among the sorted distinct ones."""
-    codes = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        # one row per class: the sorted list is as short as the list of classes
-        .agg(F.array_sort(F.collect_list(column)).alias("c"))
-        .scalar()
-    )
-    return df.withColumn(name, F.array_position(codes, F.col(column)).cast("int") - 1)
+    classes = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per class is numbered, and joined where it is used
+    codes = classes.select("_class", (F.row_number().over(W.orderBy("_class")) - 1).cast("int").alias(name))
+    return df.join(codes, F.col(column) == F.col("_class"), "left").drop("_class")
 
 
 def class_rank(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 42, hex_digits: int = 3) -> DataFrame:
@@ -49,24 +44,26 @@ def class_rank(df: DataFrame, label: str, key: str | Sequence[str], seed: int =
 
     The order is fixed by the key, so it survives repartitioning and retries. Rows are ranked inside
     16^hex_digits hash buckets per class and shifted by the rows of lower buckets, so a class that
-    holds most of the table is still spread over all tasks. ``key`` must identify a row.
+    holds most of the table is still spread over all tasks. ``key`` must identify a row. Rows without
+    a label are a class of their own.
     """
     key = [key] if isinstance(key, str) else list(key)
     hashed = df.withColumn("_hash", key_hash(*key, seed=seed)).withColumn("_slot", F.substring("_hash", 1, hex_digits))
-    per_slot = hashed.groupBy(label, "_slot").agg(F.count(F.lit(1)).alias("_c"))
-    lower = W.partitionBy(label).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    hashed = hashed.withColumn("_class", F.struct(F.col(label).alias("c")))  # a struct that holds NULL equals another
+    per_slot = hashed.groupBy("_class", "_slot").agg(F.count(F.lit(1)).alias("_c"))
+    lower = W.partitionBy("_class").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_slot.select(
-        label,
+        "_class",
         "_slot",
         F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_shift"),
-        F.sum("_c").over(W.partitionBy(label)).alias("_n"),
+        F.sum("_c").over(W.partitionBy("_class")).alias("_n"),
     )
-    inside = F.row_number().over(W.partitionBy(label, "_slot").orderBy("_hash"))
+    inside = F.row_number().over(W.partitionBy("_class", "_slot").orderBy("_hash"))
     return (
         hashed.withColumn("_rank", inside)
-        .join(offsets.hint("merge"), [label, "_slot"])
+        .join(offsets.hint("merge"), ["_class", "_slot"])
         .withColumn("_rank", F.col("_rank") + F.col("_shift"))
-        .drop("_slot", "_shift", "_hash")
+        .drop("_class", "_slot", "_shift", "_hash")
     )
 
 
@@ -133,6 +130,8 @@ def top_importance(df: DataFrame, k: int, feature: str = "feature", value: str =
     by = list(by)
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
+    if not by:  # the k largest of all are found per task first
+        base = base.orderBy(F.desc(value), F.asc(feature)).limit(k)
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(value), F.asc(feature)))
     top = base.withColumn("rank", rank).where(F.col("rank") <= k)
     text = F.concat(F.col(feature), F.lit("="), F.format_string("%.3f", F.bround(value, 3)))

@@ -56,7 +56,8 @@ def row_index(
     """
     by, order = _names(by), _names(order)
     if bucket is None:
-        bucket = F.date_trunc("month", F.col(order[0])).cast("timestamp_ntz")
+        # rows without a date come first, in a bucket of their own
+        bucket = F.coalesce(F.date_trunc("month", F.col(order[0])).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz"))
     df = df.withColumn("_bucket", bucket)
     keys = by + ["_bucket"]
     earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -251,27 +252,31 @@ def recursive_index(
 
     Inside a chunk, a[t] = k^t * sum(x[i] * k^-i): one running sum, no per-row loop. The chunk length
     is limited so that k^-i stays inside double range. What earlier chunks leave behind reaches a
-    chunk through one value per chunk, decayed by the distance.
+    chunk through one value per chunk, decayed by the distance; the decay is taken in two factors, so
+    it falls out of double range only where any double would. The result does not depend on ``size``.
     """
     if not 0 < k < 1:
         raise ValueError("decay must lie between 0 and 1")
     by = _names(by)
-    size = max(1, min(size, int(600 / -math.log(k))))
+    longest = max(1, int(300 / -math.log(k)))
+    size = min(max(size, 64), longest)
     x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     place = F.pmod(F.col(INDEX), F.lit(size)).cast("double")
     base = df.withColumn(CHUNK, F.floor(F.col(INDEX) / F.lit(size)).cast("long"))
 
     ends = base.groupBy(*by, CHUNK).agg(F.sum(x * F.pow(F.lit(k), F.lit(size - 1) - place)).alias("_end"))
-    chunks_back = max(1, math.ceil(40 / (-math.log(k) * size)))
+    # the whole range of doubles spans fewer than 1,500 powers of e: older chunks leave exactly nothing
+    chunks_back = math.ceil(1500 / (-math.log(k) * size)) + 1
     past = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(-chunks_back, -1)
     left = F.collect_list(F.struct(F.col(CHUNK).alias("c"), F.col("_end").alias("e"))).over(past)
+    half = lambda s: F.pow(F.lit(k), (F.col(CHUNK) - 1 - s["c"]) * F.lit(size / 2))
     carry = ends.select(*by, CHUNK, left.alias("_left")).select(
         *by,
         CHUNK,
         F.aggregate(
             "_left",
             F.lit(0.0),
-            lambda acc, s: acc + s["e"] * F.pow(F.lit(k), (F.col(CHUNK) - 1 - s["c"]) * F.lit(size)),
+            lambda acc, s: acc + s["e"] * half(s) * half(s),
         ).alias("_carry"),
     )
     running = W.partitionBy(*by, CHUNK).orderBy(INDEX).rowsBetween(W.unboundedPreceding, 0)

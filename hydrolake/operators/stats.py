@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hydrolake.functions.numeric import col
+from hydrolake.operators.keys import join_keys
 
 SKETCH_ACCURACY = 10_000
 
@@ -54,7 +55,7 @@ def exact_percentiles(
         ).alias("_b"),
     )
     # one row per group: small next to the data, so AQE may broadcast it after measuring it
-    placed = rows.join(brackets, keys)
+    placed = join_keys(rows, brackets, keys)
     below = placed.groupBy(*keys).agg(
         *[F.count_if(F.col("_v") < F.col("_b")[i]["lo"]).alias(f"_below{i}") for i in range(len(probs))]
     )
@@ -64,7 +65,7 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     w = W.partitionBy(*keys, "i").orderBy("_v")
-    counted = inside.join(below, keys).withColumn(
+    counted = join_keys(inside, below, keys).withColumn(
         "_before",
         F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(probs))]), F.col("i") + 1)
         + F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
@@ -78,7 +79,8 @@ def exact_percentiles(
     picked = counted.groupBy(*keys, "i", "p", "n").agg(
         F.max(F.when(holds(low), F.col("_v"))).alias("_lo"), F.max(F.when(holds(high), F.col("_v"))).alias("_hi")
     )
-    q = picked.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (place - low))
+    missed = F.raise_error(F.lit("no value holds the percentile's rank: the sketch left its error bound")).cast("double")
+    q = picked.withColumn("_q", F.coalesce(F.col("_lo"), missed) + (F.coalesce(F.col("_hi"), missed) - F.col("_lo")) * (place - low))
     out = q.groupBy(*keys, "n").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "_q"))), lambda s: s["_q"]).alias("q")
     )
@@ -99,19 +101,19 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
     median = exact_percentiles(long, "value", [0.5], [*by, "measure"]).select(
         *by, "measure", F.col("q")[0].alias("median")
     )
-    return basic.join(median, [*by, "measure"])
+    return join_keys(basic, median, [*by, "measure"], "left")
 
 
 QUARTILE_NAMES = ["Sangat Rendah", "Rendah", "Tinggi", "Sangat Tinggi"]
 
 
 def quartile_bins(df: DataFrame, value: str, by: Sequence[str], name: str = "kategori") -> DataFrame:
-    """Rows with their quartile class, lower classes closed on the right."""
+    """Rows with their quartile class, lower classes closed on the right; NULL for a missing value."""
     edges = exact_percentiles(df, value, [0.25, 0.5, 0.75], by).select(*by, F.col("q").alias("_q"))
-    chain = F.when(F.col(value) <= F.col("_q")[0], QUARTILE_NAMES[0])
+    chain = F.when(F.col(value).isNull() | F.isnan(F.col(value).cast("double")), F.lit(None)).when(F.col(value) <= F.col("_q")[0], QUARTILE_NAMES[0])
     for i in (1, 2):
         chain = chain.when(F.col(value) <= F.col("_q")[i], QUARTILE_NAMES[i])
-    return df.join(edges, list(by)).withColumn(name, chain.otherwise(QUARTILE_NAMES[3])).drop("_q")
+    return join_keys(df, edges, list(by), "left").withColumn(name, chain.otherwise(QUARTILE_NAMES[3])).drop("_q")
 
 
 def bin_shares(binned: DataFrame, by: Sequence[str], name: str = "kategori") -> DataFrame:

@@ -124,10 +124,14 @@ def nearest_row(df: DataFrame, as_of: Column, by: str = "loc", time: str = "time
 def latest_before(
     df: DataFrame, as_of: Column, limit: str, by: str | Sequence[str] = "loc", time: str = "time"
 ) -> DataFrame:
-    """Per series the newest row at or before ``as_of`` and not older than ``limit``."""
+    """Per series the newest row at or before ``as_of`` and not older than ``limit``.
+
+    Of rows of one time the one that sorts last by its other columns is taken.
+    """
     by = [by] if isinstance(by, str) else list(by)
     fresh = df.where((F.col(time) <= as_of) & (F.col(time) >= as_of - F.expr(f"interval {limit}")))
-    best = F.max_by(F.struct(*[c for c in df.columns if c not in by]), F.col(time))
+    rest = [c for c in df.columns if c not in by]
+    best = F.max_by(F.struct(*rest), F.struct(time, *rest))
     return fresh.groupBy(*by).agg(best.alias("_row")).select(*by, "_row.*")
 
 

@@ -72,21 +72,48 @@ def wet_spell_sessions(readings: DataFrame, gap: str = "1 hour") -> DataFrame:
     return rain(readings).groupBy("loc", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("rain"))
 
 
-def alerts_frame(scored: DataFrame, min_level: str = config.ALERT_MIN_LEVEL, cooldown: str = "6 hours") -> DataFrame:
-    """One alert per (site, status) until the cooldown has passed."""
-    return scored.where(risk.passes_gate("status", min_level)).withWatermark("ts", cooldown).dropDuplicatesWithinWatermark(["loc", "status"])
+def alerts_frame(scored: DataFrame, min_level: str = config.ALERT_MIN_LEVEL, cooldown: str = "6 hours", lateness: str = LATENESS) -> DataFrame:
+    """One alert per (site, status), and the next when the cooldown has passed since it.
+
+    The state is the time of the last alert; it goes once the watermark has left the cooldown behind.
+    Columns: loc, status, ts.
+    """
+    wait = pd.Timedelta(cooldown)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        due = []
+        for ts in pd.concat([f["ts"] for f in frames]).sort_values():  # rows past the gate only
+            if last is None or ts >= last + wait:
+                last = ts
+                due.append(ts)
+        state.update((last.value // 1000,))
+        # a timeout may not lie before the watermark
+        state.setTimeoutTimestamp(max(int((last + wait).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
+        if due:
+            yield pd.DataFrame({"loc": key[0], "status": key[1], "ts": due})
+
+    passed = scored.where(risk.passes_gate("status", min_level)).withWatermark("ts", lateness).select("loc", "status", "ts")
+    return passed.groupBy("loc", "status").applyInPandasWithState(
+        step, "loc long, status string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def upstream_frame(readings: DataFrame, hours: int = config.UPSTREAM_LAG_HOURS, lateness: str = LATENESS) -> DataFrame:
-    """Hourly rain next to the upstream rain of ``hours`` before.
+    """Hourly rain next to the upstream rain of ``hours`` before, 0 where it was dry there.
 
-    Both sides are rolled up to hours first, so the stream-stream join meets one row per side.
+    Both sides are rolled up to hours first, so the stream-stream join meets one row per side. An hour
+    without upstream rain comes out once the watermark shows that none can follow.
     """
     def per_hour(kind: str, shift: int, name: str) -> DataFrame:
         moved = readings.where(F.col("kind") == kind).withColumn("ts", F.col("ts") + F.expr(f"interval {shift} hours"))
         return moved.withWatermark("ts", lateness).groupBy("loc", F.window("ts", "1 hour")).agg(F.sum("value").alias(name))
 
-    return per_hour("purchase", 0, "rain").join(per_hour("error", hours, "upstream_rain"), ["loc", "window"])
+    joined = per_hour("purchase", 0, "rain").join(per_hour("error", hours, "upstream_rain"), ["loc", "window"], "leftOuter")
+    return joined.withColumn("upstream_rain", F.coalesce("upstream_rain", F.lit(0.0)))
 
 
 def hour_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
