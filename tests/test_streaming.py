@@ -93,7 +93,7 @@ def test_alerts_respect_gate_and_cooldown(spark, landed, tmp_path):
     per_key = {}
     for r in out.orderBy("ts").collect():
         last = per_key.get((r["loc"], r.status))
-        assert last is None or r.ts - last > dt.timedelta(hours=6)
+        assert last is None or r.ts - last >= dt.timedelta(hours=6)
         per_key[(r["loc"], r.status)] = r.ts
 
 
