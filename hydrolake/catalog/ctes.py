@@ -31,7 +31,7 @@ BASE = {
         from lineitem group by 1, 2)""",
     "status_reports": """select l_suppkey as loc, cast(l_shipdate as date) as tanggal, l_orderkey as report_id, l_linenumber as line,
   case when l_returnflag='R' then 'Banjir' when l_quantity > 40 then 'Air Meluap' when l_quantity > 2 then 'Aman' end as status_siaga
-  from lineitem where l_linestatus='F'""",
+  from lineitem""",
     "zones": """select s_suppkey as zone_id, s_name as zone, s_suppkey % 50 as gx, s_suppkey // 50 as gy,
   ((s_suppkey*7) % 25)/4.0::double - 1.0::double as mean_elev, ((s_suppkey*37) % 100)::double as risk_pct,
   round(117.05::double + 0.0034::double*(s_suppkey % 50), 6) as lon0, round(-0.58::double + 0.008::double*(s_suppkey // 50), 6) as lat0,

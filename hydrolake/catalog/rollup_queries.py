@@ -8,7 +8,7 @@ from hydrolake import config
 from hydrolake.catalog.registry import oracle, query
 from hydrolake.catalog.series_queries import as_of_time
 from hydrolake.functions import calendar, numeric, risk, text
-from hydrolake.operators import alerts, ranking, rollups, timegrid
+from hydrolake.operators import alerts, ranking, rollups, stats, timegrid
 from hydrolake.plans import datasets, features, outlook
 from hydrolake.sources import relations as rel
 
@@ -345,3 +345,11 @@ def feedback_agreement(spark, d):
     made = p.select("loc", F.col("timestamp").alias("time"), "risk_level")
     seen = p.where(F.col("actual_outcome").isNotNull()).select("loc", F.col("timestamp").alias("time"), "id", "actual_outcome")
     return alerts.feedback_agreement(made, seen)
+
+
+@query(oracle("n:i p10:d median:d p90:d", """
+select count(*) as n, quantile_cont(l_extendedprice::double, 0.1) as p10, quantile_cont(l_extendedprice::double, 0.5) as median, quantile_cont(l_extendedprice::double, 0.9) as p90 from lineitem"""))
+def price_percentiles(spark, d):
+    """One group of all rows, large enough for the sketch to bracket the ranks."""
+    p = stats.exact_percentiles(rel.table(spark, d, "lineitem"), "l_extendedprice", [0.1, 0.5, 0.9], [])
+    return p.select("n", *[F.col("q")[k].alias(c) for k, c in enumerate(("p10", "median", "p90"))])

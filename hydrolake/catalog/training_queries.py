@@ -298,7 +298,7 @@ def regression_metrics(spark, d):
 
 # --- models (rows only: learners have no SQL counterpart) --------------------------------------
 
-MODEL_FEATURES = ["rain_intensity_max", "soil_moisture_surface_mean", "soil_moisture_root_mean", "pasut_msl_max", "rain_lag1", "rain_lag2", "rain_lag3"]
+MODEL_FEATURES = config.FEATURES_V4
 
 
 def training_rows(spark, d):
@@ -321,7 +321,7 @@ def scored_report(spark, d, spec):
 
 @query()
 def train_rf(spark, d):
-    return scored_report(spark, d, models.Spec("rf", "rf", {"numTrees": 30, "maxDepth": 6, "seed": 42}, balanced=True))
+    return scored_report(spark, d, models.RANDOM_FOREST)
 
 
 @query()
@@ -331,7 +331,7 @@ def train_gbt(spark, d):
 
 @query()
 def train_lr(spark, d):
-    return scored_report(spark, d, models.Spec("lr", "lr", {"maxIter": 100}, balanced=True))
+    return scored_report(spark, d, models.LOGISTIC)
 
 
 @query()
@@ -346,7 +346,7 @@ def train_depth_model(spark, d):
 
 @query()
 def feature_importances(spark, d):
-    model, _ = held_out(spark, d, models.Spec("rf", "rf", {"numTrees": 20, "maxDepth": 5, "seed": 42}, balanced=True))
+    model, _ = held_out(spark, d, models.RANDOM_FOREST)
     return models.importances(model, MODEL_FEATURES)
 
 
@@ -355,9 +355,12 @@ STACK_SPECS = [models.Spec("rf", "rf", {"numTrees": 10, "maxDepth": 5, "seed": 4
 
 @query()
 def stacked_model(spark, d):
-    rows = training_rows(spark, d)
-    ensemble = models.stack(rows, STACK_SPECS, MODEL_FEATURES, "is_flood", ["loc", "tanggal"], folds=3)
-    return models.evaluate(ensemble.transform(rows), "is_flood")
+    """Fitted on the training part only; the report is of the held-out part."""
+    from hydrolake.session import cut_lineage
+
+    split = cut_lineage(ranking.stratified_split(training_rows(spark, d), "is_flood", ["loc", "tanggal"]))
+    ensemble = models.stack(split.where("is_train = 1"), STACK_SPECS, MODEL_FEATURES, "is_flood", ["loc", "tanggal"], folds=3)
+    return models.evaluate(ensemble.transform(split.where("is_train = 0")), "is_flood")
 
 
 @query()

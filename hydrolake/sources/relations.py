@@ -104,7 +104,7 @@ def obs_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field reports (loc, tanggal, status_siaga): several per day, some days without, some unlabelled."""
     li = table(spark, sf_dir, "lineitem")
-    return li.where(F.col("l_linestatus") == "F").select(
+    return li.select(
         F.col("l_suppkey").alias("loc"),
         F.to_date("l_shipdate").alias("tanggal"),
         F.col("l_orderkey").alias("report_id"),
