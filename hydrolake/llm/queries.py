@@ -41,6 +41,22 @@ from h left join m on h.page_id = m.page_id
 """
 
 
+#: Exact similarity of all pairs that share a shingle, and the smallest id that links reach.
+NEAR_SQL = """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[^ \\t-\\r]+') as ws from documents),
+ s as materialized (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+   else [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] end) as g from w),
+ n as materialized (select doc_id, count(*) as n from s group by 1),
+ p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+ l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 5 * c >= 4 * (x.n + y.n - c)),
+ r(doc_id, root) as (select a, b from l union select r.doc_id, l.b from r join l on l.a = r.root)
+select d.doc_id, coalesce((select min(root) from r where r.doc_id = d.doc_id), d.doc_id) as class_id,
+ (select count(*) from l where l.a = d.doc_id) as n_links, coalesce((select n from n where n.doc_id = d.doc_id), 0) as n_shingles
+from documents d
+"""
+
+
 def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score(table(spark, sf_dir, "documents"))
 
@@ -99,4 +115,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_duplicates, op9_fuzzy_hash, op10_packing, pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op5_url_filter": URL_SQL, "op6_source_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_url_filter": URL_SQL, "op6_source_mix": mixing.ORACLE, "op8_near_duplicates": NEAR_SQL}
