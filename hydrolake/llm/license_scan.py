@@ -1,9 +1,10 @@
 """License scan with a positional index of rare words.
 
 Templates are word sequences of notices. The index holds, for each template, its INDEX_WORDS words of highest inverse
-document frequency over the corpus, with their positions. A file looks up its own FILE_WORDS highest-IDF words among
-these; postings that agree on the relative position of file and template make a candidate, which holds if at least
-MATCHED of the template's words stand at their places and one of its mandatory key phrases stands within the place.
+document frequency over the corpus, with their positions. A file looks up all its words among these; postings that
+agree on the relative position of file and template make a candidate, which holds if at least MATCHED of the template's
+words stand at their places and one of its mandatory key phrases stands within the place. A place with fewer postings
+than a match must have is no candidate; a match of a template of up to 47 words always has one.
 Base phrases are plain places of a phrase's consecutive words and always give their label.
 
 Words are longest runs of [0-9a-z] and characters from U+0080 on, after A-Z are lower-cased; they are compared by
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from hydrolake.llm.common import NON_ALNUM, blocks_of, flat, word_hashes
 
 INDEX_WORDS = 12
-FILE_WORDS = 16
 MATCHED = 0.75
 #: Words by which a key phrase may lie outside the matched place.
 SLACK = 3
@@ -98,8 +98,10 @@ class Index:
     keys: list[list[np.ndarray]]
     base: list[tuple[str, np.ndarray]]
     rare: np.ndarray  # sorted hashes of the indexed words
-    rank: np.ndarray  # of each indexed word, 0 for the highest IDF
-    postings: list[list[tuple[int, int]]]  # per indexed word: template, position
+    begin: np.ndarray  # of each indexed word's postings, one more than words
+    template: np.ndarray  # of each posting
+    position: np.ndarray
+    need: np.ndarray  # per template: postings that a match has at least
 
 
 def build_index(frequency: dict[int, int], templates: dict = TEMPLATES, base: dict = BASE) -> Index:
@@ -113,11 +115,12 @@ def build_index(frequency: dict[int, int], templates: dict = TEMPLATES, base: di
             if h in distinct:
                 places.setdefault(h, []).append((t, p))
     rare = np.array(sorted(places), np.uint64)
-    by_idf = sorted(range(len(rare)), key=lambda i: (frequency.get(int(rare[i]), 0), int(rare[i])))
-    rank = np.empty(len(rare), np.int64)
-    rank[by_idf] = np.arange(len(rare))
+    postings = [x for h in rare.tolist() for x in places[h]]
+    template, position = np.array(postings, np.int64).reshape(-1, 2).T
+    indexed = np.bincount(template, minlength=len(words))
+    missing = [len(w) - int(np.ceil(MATCHED * len(w))) for w in words]
     return Index(labels, words, [[hashes_of(k) for k in templates[x][1]] for x in labels], sorted((n, hashes_of(p)) for n, p in base.items()),
-                 rare, rank, [places[h] for h in rare.tolist()])
+                 rare, np.cumsum([0, *(len(places[h]) for h in rare.tolist())]), template, position, np.maximum(1, indexed - missing))
 
 
 def runs(hashes: np.ndarray, phrase: np.ndarray, first: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -149,14 +152,14 @@ def scan_block(index: Index, data: np.ndarray, offs: np.ndarray) -> list[tuple]:
     if len(index.rare):
         found = np.minimum(np.searchsorted(index.rare, hashes), len(index.rare) - 1)
         at = np.flatnonzero(index.rare[found] == hashes)
-        by_doc = np.searchsorted(owner[at], np.arange(m + 1))
-        for d in np.unique(owner[at]).tolist():
-            here = at[by_doc[d] : by_doc[d + 1]]
-            best = _match(index, hashes[first[d] : first[d + 1]], here - first[d], found[here])
+        docs, template, shift = candidates(index, owner[at], at - first[:-1][owner[at]], found[at])
+        by_doc = np.searchsorted(docs, np.arange(m + 1))
+        for d in np.unique(docs).tolist():
+            here = slice(by_doc[d], by_doc[d + 1])
+            best = _match(index, hashes[first[d] : first[d + 1]], template[here], shift[here])
             for label, share in best.items():
-                if share >= MATCHED:
-                    labels[d].add(label)
-                    score[d] = max(score[d], share)
+                labels[d].add(label)
+                score[d] = max(score[d], share)
     return [
         (int(n_words[d]), int(n_base[d]), int(low[d]) if n_base[d] else None, int(high[d]) if n_base[d] else None,
          ",".join(sorted(based[d])), ",".join(sorted(labels[d])), float(score[d]))
@@ -164,19 +167,24 @@ def scan_block(index: Index, data: np.ndarray, offs: np.ndarray) -> list[tuple]:
     ]
 
 
-def _match(index: Index, file: np.ndarray, places: np.ndarray, ids: np.ndarray) -> dict[str, float]:
+def candidates(index: Index, docs: np.ndarray, places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, template and relative position, in order of texts, with the postings that a match needs; ids: indexed word at each place."""
+    reps = index.begin[ids + 1] - index.begin[ids]
+    nth = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
+    posting = np.repeat(index.begin[ids], reps) + nth
+    low = int(index.position.max())
+    span = int(places.max(initial=0)) + low + 1
+    shift = np.repeat(places, reps) - index.position[posting] + low
+    votes, n = np.unique((np.repeat(docs, reps) * len(index.words) + index.template[posting]) * span + shift, return_counts=True)
+    votes = votes[n >= index.need[votes // span % len(index.words)]]
+    return votes // span // len(index.words), votes // span % len(index.words), votes % span - low
+
+
+def _match(index: Index, file: np.ndarray, templates: np.ndarray, shifts: np.ndarray) -> dict[str, float]:
     """Best share of matched words for each template whose key phrase stands within the place."""
-    order = np.unique(index.rank[ids])[:FILE_WORDS]
-    chosen = np.isin(index.rank[ids], order)
-    votes: dict[tuple[int, int], int] = {}
-    for p, i in zip(places[chosen].tolist(), ids[chosen].tolist()):
-        for t, q in index.postings[i]:
-            votes[t, p - q] = votes.get((t, p - q), 0) + 1
     best: dict[str, float] = {}
-    for (t, shift), n in votes.items():
+    for t, shift in zip(templates.tolist(), shifts.tolist()):
         words, label = index.words[t], index.labels[t]
-        if n < 2 and len(words) > 1:
-            continue
         a, b = max(0, shift), min(len(file), shift + len(words))
         share = float((file[a:b] == words[a - shift : b - shift]).sum()) / len(words)
         if share > best.get(label, 0.0) and share >= MATCHED:

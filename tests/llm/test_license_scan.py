@@ -1,3 +1,4 @@
+import random
 import re
 
 from hydrolake.llm import license_scan
@@ -59,3 +60,41 @@ def test_templates_need_words_and_key_phrase(spark):
         assert "mit" not in got[k]["labels"].split(",")
     assert got[5]["n_base"] == 2 and (got[5]["first_word"], got[5]["last_word"]) == (0, 3)
     assert {"mit", "isc"} <= set(got[6]["labels"].split(","))
+
+
+def test_every_notice_of_a_file_with_many(spark):
+    notices = [text for text, _ in license_scan.TEMPLATES.values()]
+    pick = lambda *names: " x ".join(license_scan.TEMPLATES[n][0] for n in names)
+    texts = {
+        1: " ".join(notices), 2: " x ".join(reversed(notices * 3)), 3: pick("mit", "isc", "cc-by-short"), 4: pick("mit", "apache-2.0", "mit-short"),
+        5: "word " * 30_000 + " ".join(notices),
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in check(df, texts.items())}
+    for k in (1, 2, 5):
+        assert got[k] == {*license_scan.TEMPLATES, *license_scan.BASE}
+    assert {"mit", "isc", "cc-by-short"} <= got[3] and {"mit", "apache-2.0", "mit-short"} <= got[4]
+
+
+def test_labels_are_those_of_all_places(spark):
+    """Every template at every place of files of mixed, broken and cut notices."""
+    rng = random.Random(2)
+    split = lambda text: re.findall(r"[0-9a-z]+", text.lower())
+    templates = {k: (split(text), [split(p) for p in keys]) for k, (text, keys) in license_scan.TEMPLATES.items()}
+    texts = {}
+    for i in range(60):
+        words = []
+        for name in rng.choices(sorted(templates), k=rng.randint(1, 6)):
+            part = [w if rng.random() > rng.choice([0.0, 0.1, 0.25]) else "zzz" for w in templates[name][0]]
+            words += part[rng.randint(0, 2) :] + ["of", "the"] * rng.randint(0, 2)
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in check(df, texts.items()):
+        words, want, slack = texts[r["doc_id"]].split(" "), set(filter(None, r["base_labels"].split(","))), license_scan.SLACK
+        for name, (template, keys) in templates.items():
+            for shift in range(-len(template), len(words)):
+                same = sum(0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(template))
+                region = words[max(0, shift - slack) if shift > 0 else 0 : min(len(words), shift + len(template)) + slack]
+                if same >= license_scan.MATCHED * len(template) and any(region[j : j + len(p)] == p for p in keys for j in range(len(region))):
+                    want.add(name)
+        assert set(filter(None, r["labels"].split(","))) == want
