@@ -3,7 +3,10 @@
 Each language has a suffix automaton of labelled text. A text is parsed against it into phrases, each the longest
 match with some substring of the language's text; the language that needs fewest phrases for the text's length wins.
 Letters are lower-cased, everything else is a gap of length one. A text is parsed in blocks of BLOCK symbols, at whose
-ends phrases end too, so that a worker parses many blocks in step, each symbol of each one by one table look-up.
+ends phrases end too, so that a worker parses many blocks in step, each symbol of each one by a table look-up.
+
+The alphabet is all letters of all samples. Moves of a language's states lie in one array: a state is a place in it, no
+two states the same, and its move by symbol c lies c places on, marked with the state, where no other state has one.
 
 Learning: at most SAMPLE_ROWS rows of each language, the least by a hash of their id, with SAMPLE_CHARS characters from
 the middle of each. That sample is the only bounded thing here; every whole text is parsed.
@@ -18,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +33,7 @@ from hydrolake.llm.common import blocks_of, flat
 
 SAMPLE_ROWS = 64
 SAMPLE_CHARS = 320
-LETTERS = 60
+CODES = 0x110000
 BLOCK = 512
 UNKNOWN = "und"
 
@@ -37,23 +41,24 @@ UNKNOWN = "und"
 @dataclass
 class Model:
     languages: list[str]
-    letters: str  # symbols 1.. in this order; 0 is a gap, then one for other letters, one for padding
-    table: np.ndarray  # state + symbol -> 2 * next state, + 1 where a phrase ends
+    letters: str  # symbols 1.. in this order; 0 is a gap, then one for other letters
+    table: np.ndarray  # state + symbol -> state << 32 | next state; elsewhere another state or -1 stands in front
     roots: np.ndarray
 
-    @property
-    def width(self) -> int:
-        return len(self.letters) + 3
+
+@cache
+def folded() -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all letters, and of their lower case."""
+    codes = [c for c in range(CODES) if chr(c).isalpha()]
+    return np.array(codes), np.array([ord(chr(c).lower()[0]) for c in codes])
 
 
 def symbol_table(letters: str) -> np.ndarray:
-    index = {c: k + 1 for k, c in enumerate(letters)}
-    other = len(letters) + 1
-    out = np.zeros(1 << 16, np.uint8)
-    for code in range(1 << 16):
-        c = chr(code)
-        if c.isalpha():
-            out[code] = index.get(c.lower()[0], other)
+    codes, lower = folded()
+    index = np.full(CODES, len(letters) + 1, np.int32)
+    index[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    out = np.zeros(CODES, np.int32)
+    out[codes] = index[lower]
     return out
 
 
@@ -65,12 +70,7 @@ def symbols(data: bytes, offs: np.ndarray, lut: np.ndarray, other: int) -> tuple
     places = lead[offs] if lead[-1] == len(codes) else None
     if places is None:
         raise ValueError("text is not valid UTF-8")
-    wide = codes > 0xFFFF
-    found = lut[np.where(wide, 0, codes)]
-    if wide.any():
-        for code in np.unique(codes[wide]):
-            if chr(code).isalpha():
-                found[codes == code] = other
+    found = lut[codes]
     letter = found > 0
     keep = letter.copy()
     keep[1:] |= letter[:-1]
@@ -82,7 +82,7 @@ def symbols(data: bytes, offs: np.ndarray, lut: np.ndarray, other: int) -> tuple
 
 
 def automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Suffix automaton of a symbol string as a dense table of next states, -1 where there is none."""
+    """Moves of the suffix automaton of a symbol string, as in Model.table with the root at 0."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -108,29 +108,62 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.full((len(step), width), -1, np.int64)
+    return laid_out(step, width)
+
+
+def laid_out(step: list[dict[int, int]], width: int) -> np.ndarray:
+    """The root has a move by every symbol; by one that the language lacks to a last state without moves."""
+    lacking = len(step)
+    most = 2 * width + 2 * sum(len(moves) + 1 for moves in step)
+    free, unused = bytearray(b"\1") * most, bytearray(b"\1") * most
+    place = [0] * (lacking + 1)
+    free[:width], unused[0] = bytes(width), 0
+    at, filled = width, 0
+    for s in sorted(range(1, lacking), key=lambda s: -len(step[s])):
+        moves = sorted(step[s])
+        if len(moves) < 2 and not filled:
+            at = filled = width  # states of one move take what is left from the front
+        if not moves:
+            break
+        low = moves[0]
+        while True:
+            at = free.find(1, at)
+            grown = at + 2 * width - len(free)
+            if grown > 0:
+                free += b"\1" * (grown + len(free))
+                unused += b"\1" * (len(free) - len(unused))
+            p = at - low
+            if unused[p] and all(free[p + c] for c in moves):
+                break
+            at += 1
+        for c in moves:
+            free[p + c] = 0
+        unused[p], place[s] = 0, p
+        at += len(moves) > 1
+    rest, p = [s for s in range(1, lacking + 1) if s == lacking or not step[s]], 0
+    for s in rest:
+        p = unused.find(1, p)
+        if p < 0:
+            p = len(unused)
+            unused += b"\1" * len(rest)
+        unused[p], place[s] = 0, p
+    table = np.full(max(max(place), free.rfind(0)) + width + 1, -1, np.int64)
+    table[:width] = place[lacking]
     for s, moves in enumerate(step):
         for c, t in moves.items():
-            table[s, c] = t
+            table[place[s] + c] = place[s] << 32 | place[t]
     return table
 
 
 def joined_model(tables: dict[str, np.ndarray], letters: str) -> Model:
     """One look-up table over the languages' automata: a miss ends a phrase, and the next begins with its symbol."""
-    width, parts, roots, base = len(letters) + 3, [], [], 0
+    parts, roots, base = [], [], 0
     for language in sorted(tables):
         t = tables[language]
-        n = len(t)  # a last state, reached by a symbol that the language lacks; such a symbol is a phrase of its own
-        at_root = np.where(t[0] >= 0, t[0], n)
-        moves = np.vstack([np.where(t >= 0, t, at_root), at_root])
-        ends = np.vstack([t < 0, np.ones((1, width), bool)])
-        ends[0] = False  # at the root no phrase has begun
-        moves[:, width - 1], ends[:, width - 1] = np.arange(n + 1), False  # padding changes nothing
-        parts.append(((moves * width + base) * 2 + ends).astype(np.int64).ravel())
+        parts.append(np.where(t < 0, -1, t + (base << 32 | base)))
         roots.append(base)
-        base += moves.size
-    table = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return Model(sorted(tables), letters, table.astype(np.int32) if base < 2**30 else table, np.array(roots, table.dtype))
+        base += len(t)
+    return Model(sorted(tables), letters, np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(roots, np.int64))
 
 
 def sample(docs: DataFrame, text: Column, lang: Column, key: Column) -> DataFrame:
@@ -145,22 +178,23 @@ def sample(docs: DataFrame, text: Column, lang: Column, key: Column) -> DataFram
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     chosen = sample(docs, F.col(text_col), F.col(lang_col), F.col(id_col)).persist()
-    letter = F.explode(F.split(F.lower("slice"), "")).alias("c")
-    counted = chosen.select(letter).where(F.col("c").rlike(r"^\p{L}$")).groupBy("c").count()
-    letters = "".join(sorted(r["c"] for r in counted.orderBy(F.desc("count"), "c").limit(LETTERS).collect() if len(r["c"]) == 1 and ord(r["c"]) < 1 << 16 and r["c"].isalpha()))
+
+    @F.arrow_udf("array<string>")
+    def letters_of(slices: pa.Array) -> pa.Array:
+        return pa.array([sorted({c.lower()[0] for c in x if c.isalpha()}) for x in slices.to_pylist()], pa.list_(pa.string()))
+
+    letters = "".join(sorted(r["c"] for r in chosen.select(F.explode(letters_of("slice")).alias("c")).distinct().collect()))
 
     def build(g: pd.DataFrame) -> pd.DataFrame:
         parts = sorted(g["slice"])
         data = " ".join(parts).encode()
         found, _, _ = symbols(data, np.array([0, len(data)]), symbol_table(letters), len(letters) + 1)
-        found = found[found != len(letters) + 1]
-        t = automaton(found, len(letters) + 3).astype("<i4")
+        t = automaton(found, len(letters) + 3).astype("<i8")
         return pd.DataFrame({"lang": [g["lang"].iloc[0]], "table": [zlib.compress(t.tobytes(), 1)]})
 
     rows = chosen.groupBy("lang").applyInPandas(build, "lang string, table binary").collect()
     chosen.unpersist()
-    width = len(letters) + 3
-    return joined_model({r["lang"]: np.frombuffer(zlib.decompress(r["table"]), "<i4").reshape(-1, width).astype(np.int64) for r in rows}, letters)
+    return joined_model({r["lang"]: np.frombuffer(zlib.decompress(r["table"]), "<i8") for r in rows}, letters)
 
 
 def phrase_counts(model: Model, found: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -182,10 +216,11 @@ def phrase_counts(model: Model, found: np.ndarray, offs: np.ndarray) -> np.ndarr
     ended = np.zeros((len(model.roots), n), np.int32)
     for t in range(int(length[0])):
         k = int(active[t])
-        s = state[:, :k] + found[begin[:k] + t].astype(state.dtype)
-        v = model.table.take(s)
-        ended[:, :k] += v & 1
-        state[:, :k] = v >> 1
+        s, c = state[:, :k], found[begin[:k] + t].astype(np.int64)
+        v = model.table.take(s + c)
+        miss = (v >> 32) != s
+        ended[:, :k] += miss
+        state[:, :k] = np.where(miss, model.table.take(model.roots[:, None] + c), v) & 0xFFFFFFFF
     for language in range(len(model.roots)):
         out[:, language] = np.bincount(owner, weights=ended[language] + 1, minlength=len(sizes))
     return out

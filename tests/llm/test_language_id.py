@@ -80,3 +80,21 @@ def test_one_language_and_ties(spark):
     assert {r["lang_pred"]: r["score"] for r in language_id.identify(docs.where("text is not null"), model).collect()} == {"a": 0.0}
     one = language_id.learn(docs.where("lang = 'b'"))
     assert {r["lang_pred"]: r["score"] for r in language_id.identify(docs.where("text is not null"), one).collect()} == {"b": 1.0}
+
+
+def test_scripts_are_learned_whole_and_told_apart(spark):
+    """Several scripts and large alphabets in one model; two pairs of languages share theirs."""
+    rng = np.random.default_rng(3)
+    alphabets = {"ba": (0x0D05, 30), "en": (0x61, 26), "el": (0x3B1, 25), "ja": (0x4E00, 2500), "ko": (0xAC00, 2500), "ru": (0x430, 32), "uk": (0x430, 32), "zh": (0x4E00, 2500), "ext": (0x20000, 800)}
+    rows = []
+    for lang, (first, n) in alphabets.items():
+        letters = [chr(first + int(k)) for k in rng.permutation(n) if chr(first + int(k)).isalpha()]
+        words = ["".join(rng.choice(letters, int(rng.integers(1, 5)))) for _ in range(400)]
+        rows += [(len(rows) + k, " ".join(rng.choice(words, 120)), lang) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs.where("doc_id % 4 > 0"))
+    used = {c.lower()[0] for i, text, _ in rows if i % 4 for c in text if c.isalpha()}
+    assert len(used) > 2000 and len(model.letters) > 2000 and set(model.letters) <= used
+    assert model.table.nbytes < 64 << 20
+    found = language_id.identify(docs.where("doc_id % 4 = 0"), model).collect()
+    assert all(r["lang"] == r["lang_pred"] and r["score"] > 0.1 for r in found) and len(found) == len(rows) // 4
