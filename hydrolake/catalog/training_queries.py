@@ -326,7 +326,7 @@ def train_rf(spark, d):
 
 @query()
 def train_gbt(spark, d):
-    return scored_report(spark, d, models.Spec("gbt", "gbt", {"maxIter": 10, "maxDepth": 4, "seed": 42}))
+    return scored_report(spark, d, models.BOOSTED)
 
 
 @query()
@@ -340,7 +340,7 @@ def train_depth_model(spark, d):
 
     rows = datasets.depth_target(datasets.dataset_v4(rel.obs_daily(spark, d)))
     split = cut_lineage(ranking.plain_split(rows.select("loc", "tanggal", *MODEL_FEATURES, "water_depth_cm"), ["loc", "tanggal"]))
-    model = models.fit(split.where("is_train = 1"), models.Spec("depth", "depth", {"maxIter": 20, "maxDepth": 5, "stepSize": 0.2, "seed": 42}), MODEL_FEATURES, "water_depth_cm")
+    model = models.fit(split.where("is_train = 1"), models.DEPTH_MODEL, MODEL_FEATURES, "water_depth_cm")
     return metrics.regression_metrics(model.transform(split.where("is_train = 0")), "water_depth_cm", "prediction")
 
 
@@ -350,7 +350,7 @@ def feature_importances(spark, d):
     return models.importances(model, MODEL_FEATURES)
 
 
-STACK_SPECS = [models.Spec("rf", "rf", {"numTrees": 10, "maxDepth": 5, "seed": 42}, balanced=True), models.Spec("lr", "lr", {"maxIter": 50}, balanced=True)]
+STACK_SPECS = [models.RANDOM_FOREST, models.BOOSTED, models.LOGISTIC]
 
 
 @query()
@@ -359,10 +359,10 @@ def stacked_model(spark, d):
     from hydrolake.session import cut_lineage
 
     split = cut_lineage(ranking.stratified_split(training_rows(spark, d), "is_flood", ["loc", "tanggal"]))
-    ensemble = models.stack(split.where("is_train = 1"), STACK_SPECS, MODEL_FEATURES, "is_flood", ["loc", "tanggal"], folds=3)
+    ensemble = models.stack(split.where("is_train = 1"), STACK_SPECS, MODEL_FEATURES, "is_flood", ["loc", "tanggal"])
     return models.evaluate(ensemble.transform(split.where("is_train = 0")), "is_flood")
 
 
 @query()
 def compare_models(spark, d):
-    return models.compare(training_rows(spark, d), STACK_SPECS, MODEL_FEATURES, "is_flood", ["loc", "tanggal"], folds=3)
+    return models.compare(training_rows(spark, d), STACK_SPECS, MODEL_FEATURES, "is_flood", ["loc", "tanggal"])

@@ -162,3 +162,25 @@ def test_scoring_with_a_fitted_model(spark):
     assert low >= 0 and top > 20
     day = scoring.score_rows(spark.createDataFrame([(30.0, 2.0)], "rain_intensity_max double, pasut_msl_max double"), model).first()
     assert day.depth_cm > 20
+
+
+def test_registered_training_runs_at_full_size(monkeypatch):
+    """The registered queries hand the learners of plans/models.py and the default folds on."""
+    from hydrolake.catalog import training_queries as q
+
+    class Any:
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+    seen = []
+    monkeypatch.setattr(q, "training_rows", lambda *a: Any())
+    monkeypatch.setattr("hydrolake.session.cut_lineage", lambda df: df)
+    for module, name in ((q.ranking, "stratified_split"), (q.ranking, "plain_split"), (q.datasets, "dataset_v4"), (q.datasets, "depth_target"), (q.rel, "obs_daily"), (q.models, "evaluate"), (q.models, "positive_probability"), (q.metrics, "regression_metrics")):
+        monkeypatch.setattr(module, name, lambda *a, **b: Any())
+    monkeypatch.setattr(q.models, "fit", lambda df, spec, *a, **b: seen.append(spec) or Any())
+    for name in ("stack", "compare"):
+        monkeypatch.setattr(q.models, name, lambda df, specs, *a, **b: seen.append((list(specs), b)) or Any())
+    for f in (q.train_gbt, q.train_depth_model, q.stacked_model, q.compare_models):
+        f(None, None)
+    every = [models.RANDOM_FOREST, models.BOOSTED, models.LOGISTIC]
+    assert seen == [models.BOOSTED, models.DEPTH_MODEL, (every, {}), (every, {})]
