@@ -38,6 +38,12 @@ def fold(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5, F.lit(0))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned crc32 of an ASCII text, bit by bit; null for null."""
+    bits = f"flatten([[(ord(({text})[i]) >> k) & 1 for k in range(8)] for i in range(1, len({text}) + 1)])"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {bits}), lambda c, b: xor(c >> 1, 3988292384 * xor(c & 1, b))), 4294967295)"
+
+
 # ---- words of a batch, hashed without a Python string per word -------------------------------------
 
 _SEED = np.random.default_rng(20240501)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import fuzzy_hash, importance, language_id, license_scan, mixing, near_duplicates, neighbour_graph, packing, recurrent_lm, url_filter
+from hydrolake.llm import (
+    conversation_repair, exact_dedup, fuzzy_hash, importance, language_id, license_scan, merkle, mixing, near_duplicates, neighbour_graph, packing, recurrent_lm, url_filter,
+)
 from hydrolake.llm.common import fold, table
 
 
@@ -103,6 +105,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.grouped(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(conversations), conversations)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_newlines()))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,7 +128,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_recurrent_lm, op2_neighbour_graph, op3_language_id, op4_license_scan, op5_url_filter, op6_source_mix, op7_importance,
-        op8_near_duplicates, op9_fuzzy_hash, op10_packing, pipeline,
+        op8_near_duplicates, op9_fuzzy_hash, op10_packing, op11_exact_dedup, op12_conversation_repair, op13_merkle_manifest, pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op5_url_filter": URL_SQL, "op6_source_mix": mixing.ORACLE, "op8_near_duplicates": NEAR_SQL}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": URL_SQL, "op6_source_mix": mixing.ORACLE, "op8_near_duplicates": NEAR_SQL,
+    "op11_exact_dedup": exact_dedup.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE, "op13_merkle_manifest": merkle.ORACLE,
+}
