@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolake.llm.common import stored
-from hydrolake.llm.ordering import numbered, same
 
 #: Code points of a block.
 BLOCK = 1024
@@ -60,10 +59,14 @@ def _sharing(texts: DataFrame, block: int, code: Callable[[Column], Column]) ->
 
 
 def _named(pairs: DataFrame) -> DataFrame:
-    """Rows with the integer name of (a, b): its place among all distinct (a, b) in sorted order."""
-    names = numbered(pairs.select("a", "b").distinct(), [], ["a", "b"], "name")
+    """Rows with the integer name of (a, b): its place in the sorted order of all distinct (a, b).
+
+    The order is dealt by ranges and written once; a place is the range's number and the place inside it.
+    """
+    keys = pairs.select("a", "b").distinct().repartitionByRange("a", "b").sortWithinPartitions("a", "b")
+    names = stored(keys.withColumn("name", F.monotonically_increasing_id()))
     names = names.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "name")
-    return pairs.join(names, same(pairs, names, [("a", "_a"), ("b", "_b")])).drop("a", "b", "_a", "_b")
+    return pairs.join(names, (pairs["a"] == names["_a"]) & (pairs["b"] == names["_b"])).drop("a", "b", "_a", "_b")
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK,
@@ -76,30 +79,29 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = raw.select("doc_id", F.length(F.coalesce("_raw", F.lit(""))).cast("long").alias("n_points"), normalised(F.col("_raw")).alias("text"))
     sharing = _sharing(texts.select("text"), block, code)
     # the number of a row is given before its blocks are, in the one job that writes them
-    rows = texts.withColumn("row", F.monotonically_increasing_id())
+    rows = texts.withColumn("row", F.monotonically_increasing_id()).withColumn("_blocks", blocks(F.col("text"), block))
     cut = rows.select(
-        "row", "doc_id", "n_points", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.posexplode(blocks(F.col("text"), block)).alias("pos", "block")
+        "row", "doc_id", "n_points", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.size("_blocks").alias("left"), F.posexplode("_blocks").alias("pos", "block")
     ).withColumn("a", code(F.col("block")))
     told = sharing.select(F.col("h").alias("_h"), F.col("block").alias("_block"), "place")
     cut = cut.join(told, (F.col("a") == F.col("_h")) & (F.col("block") == F.col("_block")), "left")
     head = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
-    cut = stored(cut.select("row", "pos", head("doc_id"), head("n_points"), head("text_sha256"), "a", F.coalesce("place", F.lit(0)).cast("long").alias("b")))
-    last = cut.agg(F.max("pos")).first()[0] or 0
-    done, level, now = None, 0, stored(_named(cut.select("row", "pos", "a", "b")))
+    cut = stored(cut.select("row", "pos", "left", head("doc_id"), head("n_points"), head("text_sha256"), "a", F.coalesce("place", F.lit(0)).cast("long").alias("b")))
+    most = cut.agg(F.max("left")).first()[0] or 1
+    now, done, rounds = stored(_named(cut.select("row", "pos", "left", "a", "b"))), None, 0
     while True:
-        # a text is finished when only its place 0 is left
-        longer = now.where("pos > 0").select("row").distinct()
-        ended = (now.join(longer, "row", "left_anti") if last else now).select("row", F.lit(level).alias("rounds"), "name")
+        # a text is finished when one name is left of it
+        ended = now.where("left = 1").select("row", F.lit(rounds).alias("rounds"), "name")
         done = ended if done is None else done.unionByName(ended)
-        if not last:
+        if most <= 1:
             break
         even = F.col("pos") % 2 == 0
         pairs = (
-            now.join(longer, "row", "left_semi")
-            .groupBy("row", F.shiftright("pos", 1).alias("pos"))
+            now.where("left > 1")
+            .groupBy("row", F.shiftright("pos", 1).alias("pos"), F.shiftright(F.col("left") + 1, 1).alias("left"))
             .agg(F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(NO_PARTNER)).cast("long").alias("b"))
         )
-        now, last, level = stored(_named(stored(pairs))), last // 2, level + 1
+        now, most, rounds = stored(_named(stored(pairs))), (most + 1) // 2, rounds + 1
     heads = cut.where("pos = 0").select("row", "doc_id", "n_points", "text_sha256")
     return heads.join(done, "row")
 
