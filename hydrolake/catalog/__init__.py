@@ -6,7 +6,7 @@ import importlib
 
 from hydrolake.catalog.registry import REGISTRY, Query
 
-FAMILIES = ["series_queries", "rollup_queries", "space_queries", "risk_queries", "training_queries", "stream_queries"]
+FAMILIES = ["series_queries", "rollup_queries", "space_queries", "risk_queries", "training_queries", "model_queries", "stream_queries"]
 
 
 def load() -> dict[str, Query]:

@@ -341,13 +341,13 @@ def train_depth_model(spark, d):
     rows = datasets.depth_target(datasets.dataset_v4(rel.obs_daily(spark, d)))
     split = cut_lineage(ranking.plain_split(rows.select("loc", "tanggal", *MODEL_FEATURES, "water_depth_cm"), ["loc", "tanggal"]))
     model = models.fit(split.where("is_train = 1"), models.DEPTH_MODEL, MODEL_FEATURES, "water_depth_cm")
-    return metrics.regression_metrics(model.transform(split.where("is_train = 0")), "water_depth_cm", "prediction")
+    return metrics.regression_metrics(model.predict(split.where("is_train = 0"), 0, "prediction"), "water_depth_cm", "prediction")
 
 
 @query()
 def feature_importances(spark, d):
     model, _ = held_out(spark, d, models.RANDOM_FOREST)
-    return models.importances(model, MODEL_FEATURES)
+    return models.importances(model)
 
 
 STACK_SPECS = [models.RANDOM_FOREST, models.BOOSTED, models.LOGISTIC]

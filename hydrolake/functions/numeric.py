@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,35 @@ def unit_hash(*parts: str | Column, seed: int = 42, salt: str = "") -> Column:
 def key_hash(*parts: str | Column, seed: int = 42, salt: str = "") -> Column:
     """md5 of seed, salt and key as hex text; its text order is a uniform random order of the keys."""
     return F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}"), *[col(p).cast("string") for p in parts]))
+
+
+def with_ordered_code(df: DataFrame, value: str | Column, name: str) -> DataFrame:
+    """Adds a double as a long of the same order: sign, exponent and mantissa, as they stand in its 64 bits.
+
+    Equal doubles have equal codes (0 and -0 too); NULL and NaN have none. Each step is a column of its own, so that it
+    is computed once a row.
+    """
+    power = lambda e: F.pow(F.lit(2.0), e)
+    v, size, guess, exponent = (F.col(f"_{name}_{part}") for part in ("value", "size", "guess", "exponent"))
+    out = df.withColumn(f"_{name}_value", col(value).cast("double")).withColumn(f"_{name}_size", F.abs(v))
+    out = out.withColumn(f"_{name}_guess", F.floor(F.least(F.greatest(F.log2(size), F.lit(-1022.0)), F.lit(1023.0))).cast("int"))
+    # the logarithm may be off by one next to a power of two; powers and quotients by powers are exact
+    off = F.when((power(guess) > size) & (guess > -1022), -1).when((guess < 1023) & (power(guess + 1) <= size), 1).otherwise(0)
+    out = out.withColumn(f"_{name}_exponent", guess + off)
+    bits = (exponent + 1022).cast("long") * F.lit(2**52) + (size / power(exponent) * F.lit(float(2**52))).cast("long")
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047 * 2**52)).otherwise(bits)
+    code = F.when(v.isNotNull() & ~F.isnan(v), bits * F.when(v < 0, F.lit(-1)).otherwise(F.lit(1)))
+    return out.withColumn(name, code).drop(*[f"_{name}_{part}" for part in ("value", "size", "guess", "exponent")])
+
+
+def from_ordered_code(code: Column) -> Column:
+    """The double of a code."""
+    size = F.abs(code)
+    high = F.shiftright(size, 52).cast("int")
+    low = size - F.shiftleft(high.cast("long"), 52)
+    normal = (low + F.lit(2**52)).cast("double") * F.pow(F.lit(2.0), high - 1075)
+    # 2^-1074 is the least double; the factor in two steps keeps both of them exact
+    tiny = low.cast("double") * F.pow(F.lit(2.0), F.lit(-1022)) * F.pow(F.lit(2.0), F.lit(-52))
+    split = (low + F.lit(2**52)).cast("double") * F.pow(F.lit(2.0), F.lit(-52)) * F.pow(F.lit(2.0), high - 1023)
+    amount = F.when(high == 2047, F.lit(float("inf"))).when(high == 0, tiny).when(high < 60, split).otherwise(normal)
+    return F.when(code < 0, -amount).otherwise(amount)

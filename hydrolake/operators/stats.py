@@ -3,88 +3,68 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hydrolake.functions.numeric import col
+from hydrolake.functions.numeric import col, from_ordered_code, with_ordered_code
 from hydrolake.operators.keys import join_keys
 
-SKETCH_ACCURACY = 10_000
+#: Bits of a value's code that a round of the selection settles.
+DIGIT = 16
 
 
-def exact_percentiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), accuracy: int = SKETCH_ACCURACY
-) -> DataFrame:
-    """Linear-interpolated percentiles per group, column ``q`` (array in the order of ``probs``), ``n``.
+def selected(df: DataFrame, value: str, ranks: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """by, ``n`` and ``v``, an array of the values that stand at the given ranks (from 0) of each group.
 
-    The built-in exact percentile keeps every distinct value of a group in one task. Here a mergeable
-    sketch first brackets each percentile; rows below a bracket are only counted, and only the few
-    inside it (about 6/accuracy of the group) are sorted. The result is still exact: the sketch's
-    rank error is bounded, and small groups are bracketed by their minimum and maximum.
-    NULL and NaN values are left out.
+    ``ranks`` are expressions of ``n``, the group's number of values. Selection by digits: values are read as 64-bit codes
+    of the same order; each round counts, per group, the values by their next 16 bits, but only where the bits settled
+    so far are those of a wanted rank. After four rounds each rank has its value. Every round is one aggregate that
+    folds on the map side, and no window holds more than 2^16 rows. One way for all sizes: groups are never sorted or
+    gathered, and a group may hold any share of the rows. NULL and NaN values are left out.
     """
     by = list(by)
     keys = by or ["_all"]
-    rows = df.select(*by, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = with_ordered_code(df.select(*by, col(value).alias("_value")), "_value", "_c").select(*by, "_c").where(F.col("_c").isNotNull())
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
-    margin = 3.0 / accuracy
-    edges = [min(max(p + s * margin, 0.0), 1.0) for p in probs for s in (-1, 1)]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("_v").alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, accuracy).alias("_edges"),
-    )
-    small = F.col("n") <= 5 * accuracy
-    brackets = sketch.select(
-        *keys,
-        "n",
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.lit(float(p)).alias("p"),
-                    F.when(small, F.col("_min")).otherwise(F.col("_edges")[2 * i]).alias("lo"),
-                    F.when(small, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]).alias("hi"),
-                )
-                for i, p in enumerate(probs)
-            ]
-        ).alias("_b"),
-    )
-    # one row per group: small next to the data, so AQE may broadcast it after measuring it
-    placed = join_keys(rows, brackets, keys)
-    below = placed.groupBy(*keys).agg(
-        *[F.count_if(F.col("_v") < F.col("_b")[i]["lo"]).alias(f"_below{i}") for i in range(len(probs))]
-    )
-    inside = (
-        placed.select(*keys, "n", "_v", F.explode(F.filter("_b", lambda b: F.col("_v").between(b["lo"], b["hi"]))).alias("b"))
-        .groupBy(*keys, "n", "b.i", "b.p", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    w = W.partitionBy(*keys, "i").orderBy("_v")
-    counted = join_keys(inside, below, keys).withColumn(
-        "_before",
-        F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(probs))]), F.col("i") + 1)
-        + F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-    )
-    place = F.col("p") * (F.col("n") - 1)
-    low, high = F.floor(place), F.ceil(place)
+    wanted = F.array(*[r.cast("long") for r in ranks])
+    found = None
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        prefix = F.shiftright("_c", shift)
+        if found is None:
+            counts = rows.groupBy(*keys, prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+            counts = counts.withColumn("n", F.sum("_n").over(W.partitionBy(*keys))).withColumn("_base", F.lit(0).cast("long"))
+            inside = W.partitionBy(*keys).orderBy("_p")
+        else:
+            near = join_keys(rows.withColumn("_u", F.shiftright("_c", shift + DIGIT)), found, [*keys, "_u"])
+            # n and the rows below are the same for all rows of a prefix; as keys they need no second join
+            counts = near.groupBy(*keys, "_u", "n", "_base", prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+            inside = W.partitionBy(*keys, "_u").orderBy("_p")
+        below = F.coalesce(F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("_base", F.col("_base") + below)
+        held = lambda r: (r >= F.col("_base")) & (r < F.col("_base") + F.col("_n"))
+        hit = reduce(lambda a, b: a | b, [held(r.cast("long")) for r in ranks])
+        last, found = counts.where(hit), counts.where(hit).select(*keys, "n", F.col("_base"), F.col("_p").alias("_u"))
+    here = F.filter(F.transform(wanted, lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda w: held(w["r"]))
+    each = last.select(*keys, "n", F.explode(here).alias("_w"), from_ordered_code(F.col("_p")).alias("_v"))
+    values = F.array_sort(F.collect_list(F.struct(F.col("_w.i").alias("i"), F.col("_v").alias("v"))))
+    out = each.groupBy(*keys, "n").agg(F.transform(values, lambda s: s["v"]).alias("v"))
+    return out if by else out.drop("_all")
 
-    def holds(rank: Column) -> Column:
-        return (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
 
-    picked = counted.groupBy(*keys, "i", "p", "n").agg(
-        F.max(F.when(holds(low), F.col("_v"))).alias("_lo"), F.max(F.when(holds(high), F.col("_v"))).alias("_hi")
-    )
-    missed = F.raise_error(F.lit("no value holds the percentile's rank: the sketch left its error bound")).cast("double")
-    q = picked.withColumn("_q", F.coalesce(F.col("_lo"), missed) + (F.coalesce(F.col("_hi"), missed) - F.col("_lo")) * (place - low))
-    out = q.groupBy(*keys, "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "_q"))), lambda s: s["_q"]).alias("q")
-    )
-    return out if by else out.drop("_all")
+def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Linear-interpolated percentiles per group, column ``q`` (array in the order of ``probs``), and ``n``."""
+    place = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    ranks = [r for p in probs for r in (F.floor(place(p)), F.ceil(place(p)))]
+    at = selected(df, value, ranks, by)
+    v = F.col("v")
+    steps = [v[2 * i] + (v[2 * i + 1] - v[2 * i]) * (place(p) - F.floor(place(p))) for i, p in enumerate(probs)]
+    # between equal values, infinite ones too, nothing is to be interpolated
+    q = [F.when(v[2 * i] == v[2 * i + 1], v[2 * i]).otherwise(s) for i, s in enumerate(steps)]
+    return at.select(*by, "n", F.array(*q).alias("q"))
 
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -129,8 +109,8 @@ def iqr_bounds(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Rows beyond 1.5 interquartile ranges, with the bounds."""
-    return df.join(iqr_bounds(df, value, by), list(by)).where(
+    """Rows beyond 1.5 interquartile ranges, with the bounds; rows without a group key are a group of their own."""
+    return join_keys(df, iqr_bounds(df, value, by), list(by)).where(
         (F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper"))
     )
 

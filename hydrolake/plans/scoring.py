@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,22 +11,21 @@ from hydrolake import config
 from hydrolake.functions import risk
 from hydrolake.functions.numeric import clip
 from hydrolake.operators import series
+from hydrolake.operators.ensembles import TreeModel
 from hydrolake.operators.series import Series
 from hydrolake.plans import features
 
 MAX_DEPTH = 300.0
 
 
-def raw_depth(df: DataFrame, model: Model | None, out: str = "depth_cm") -> DataFrame:
+def raw_depth(df: DataFrame, model: TreeModel | None, out: str = "depth_cm") -> DataFrame:
     """Model output per row; without a model the depth formula stands in. Never negative."""
     if model is None:
         return df.withColumn(out, risk.formula_depth("rain_intensity_max", "pasut_msl_max"))
-    scored = model.transform(df)
-    drop = [c for c in scored.columns if c not in df.columns and c != "prediction"]
-    return scored.withColumn(out, F.greatest(F.lit(0.0), F.col("prediction"))).drop("prediction", *drop)
+    return model.predict(df, 0, "_raw").withColumn(out, F.greatest(F.lit(0.0), F.col("_raw"))).drop("_raw")
 
 
-def score_rows(df: DataFrame, model: Model | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def score_rows(df: DataFrame, model: TreeModel | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Depth (0..300 cm) and full assessment for sparse daily input rows."""
     feats = features.daily_features(df, keep=keep)
     scored = raw_depth(feats, model).withColumn("depth_cm", clip("depth_cm", 0, MAX_DEPTH))
@@ -36,7 +34,7 @@ def score_rows(df: DataFrame, model: Model | None = None, keep: Sequence[str] =
 
 
 def score_series(
-    hourly: DataFrame, model: Model | None = None, by: str = "loc", time: str = "time", size: int = series.HOURS_PER_CHUNK, smooth: bool = True
+    hourly: DataFrame, model: TreeModel | None = None, by: str = "loc", time: str = "time", size: int = series.HOURS_PER_CHUNK, smooth: bool = True
 ) -> DataFrame:
     """Hourly depth, smoothed over the neighbouring hours, with its status.
 

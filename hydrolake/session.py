@@ -56,10 +56,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike cached blocks."""
-    spark = df.sparkSession
+def reliable(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder."""
     folder = shared_folder(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: survives the loss of executors, unlike cached blocks."""
+    reliable(df.sparkSession)
     return df.checkpoint(eager=True)

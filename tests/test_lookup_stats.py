@@ -49,13 +49,12 @@ def test_asof_equals_brute_force(spark, direction, bins):
         assert got[i] == want
 
 
-@pytest.mark.parametrize("accuracy", [20, 200, 10_000])
-def test_percentiles_are_exact_for_large_and_small_groups(spark, accuracy):
+def test_percentiles_are_exact_for_large_and_small_groups(spark):
     rng = np.random.default_rng(5)
     groups = {"big": rng.normal(size=5000), "ties": rng.integers(0, 4, size=3000).astype(float), "one": np.array([4.0]), "two": np.array([1.0, 2.0])}
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("two", None)], "g string, v double").repartition(6)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    for r in stats.exact_percentiles(df, "v", probs, ["g"], accuracy).collect():
+    for r in stats.exact_percentiles(df, "v", probs, ["g"]).collect():
         assert r.n == len(groups[r.g])
         assert r.q == pytest.approx(list(np.percentile(groups[r.g], [p * 100 for p in probs])), abs=1e-12)
 
@@ -133,13 +132,12 @@ def test_f1_threshold_hand_made(spark):
     assert best.threshold == 0.7 and best.f1 == pytest.approx(0.8)
 
 
-@pytest.mark.parametrize("buckets", [2, 16])
-def test_prefix_sums_and_auc(spark, buckets):
+def test_prefix_sums_and_auc(spark):
     rng = random.Random(2)
     data = [(round(rng.random(), 2), int(rng.random() < 0.3)) for _ in range(400)]
     df = spark.createDataFrame(data, "s double, y int")
     table = metrics.score_table(df, "y", "s")
-    for r in metrics.prefix_sums(table, "score", ["pos", "neg"], buckets).collect():
+    for r in metrics.prefix_sums(table, "score", ["pos", "neg"]).collect():
         assert r.below_pos == sum(y for s, y in data if s < r.score)
         assert r.below_neg == sum(1 - y for s, y in data if s < r.score)
     pos, neg = [s for s, y in data if y], [s for s, y in data if not y]
@@ -166,3 +164,48 @@ def test_top_contributions_ranks_both_signs(spark):
     df = spark.createDataFrame([(1, 3.0, -4.0, 0.5, 0.0)], "id int, a double, b double, c double, d double")
     got = [(r["rank"], r.feature, r.direction, r.sign_rank) for r in ranking.top_contributions(df, ["id"], ["a", "b", "c", "d"], k=1, signed=2).collect()]
     assert got == [(1, "b", "Decrease Risk", 1), (2, "a", "Increase Risk", 1), (3, "c", "Increase Risk", 2)]
+
+
+def test_running_sums_and_areas_of_groups(spark):
+    rng = random.Random(7)
+    edge = [0.0, -0.0, 1e-300, -1e-300, float("inf"), float("-inf"), 5e-324]
+    data = [(rng.choice(["a", "b", None]), rng.choice([rng.gauss(0, 1), rng.choice(edge), round(rng.random(), 1)]), int(rng.random() < 0.4)) for _ in range(600)]
+    df = spark.createDataFrame(data, "g string, s double, y int")
+    table = metrics.score_table(df, "y", "s", ["g"])
+    for r in metrics.prefix_sums(table, "score", ["neg"], ["g"]).collect():
+        assert r.below_neg == sum(1 - y for g, s, y in data if g == r.g and s < r.score)
+    for r in metrics.roc_auc(df, "y", "s", ["g"]).collect():
+        pos, neg = [s for g, s, y in data if g == r.g and y], [s for g, s, y in data if g == r.g and not y]
+        assert r.auc == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)))
+
+
+def test_nothing_runs_while_a_curve_is_planned(spark):
+    df = spark.range(100).select((F.col("id") / 7).alias("s"), (F.col("id") % 2).cast("int").alias("y"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "curves")
+    metrics.roc_auc(df, "y", "s")
+    metrics.pr_curve(df, "y", "s")
+    stats.exact_percentiles(df, "s", [0.5], ["y"])
+    assert list(tracker.getJobIdsForGroup("planning")) == []
+
+
+def test_percentiles_of_hot_null_and_odd_groups(spark):
+    rng = random.Random(3)
+    rows = [("hot", rng.choice([rng.gauss(0, 1e-9), rng.gauss(0, 1e9), 4.0])) for _ in range(5000)] + [(None, float(k)) for k in range(10)]
+    rows += [("one", 2.5), ("none", None), ("none", float("nan")), ("same", -1.0), ("same", -1.0), ("far", float("inf")), ("far", float("inf")), ("sign", -0.0), ("sign", 0.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    got = {r.g: (r.n, r.q) for r in stats.exact_percentiles(df, "v", probs, ["g"]).collect()}
+    assert set(got) == {"hot", None, "one", "same", "far", "sign"}
+    for g, (n, q) in got.items():
+        own = [v for k, v in rows if k == g and v is not None and v == v]
+        assert n == len(own)
+        assert q == (own[:1] * len(probs) if g == "far" else pytest.approx(np.quantile(own, probs).tolist(), rel=1e-12, abs=1e-18))
+    whole = stats.exact_percentiles(df, "v", [0.5]).collect()
+    assert len(whole) == 1 and whole[0].n == 5017
+
+
+def test_outliers_of_rows_without_a_group(spark):
+    rows = [(None, float(k % 3)) for k in range(30)] + [(None, 99.0)]
+    got = stats.iqr_outliers(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()
+    assert [(r.g, r.v) for r in got] == [(None, 99.0)]

@@ -122,31 +122,53 @@ def separable(spark):
 
 
 def test_learners_separate_easy_classes(separable):
-    for spec in (models.Spec("rf", "rf", {"numTrees": 5, "seed": 1}, balanced=True), models.Spec("lr", "lr", {"maxIter": 20}, balanced=True), models.Spec("gbt", "gbt", {"maxIter": 3, "seed": 1})):
+    for spec in (models.Forest(trees=5, depth=5), models.Logistic(), models.Boosting(rounds=20)):
         model = models.fit(separable, spec, ["a", "b"], "y")
         r = models.evaluate(models.positive_probability(model, separable), "y").first()
         assert r.auc > 0.99 and r.f1 > 0.9
-    importances = models.importances(models.fit(separable, models.Spec("rf", "rf", {"numTrees": 5, "seed": 1}), ["a", "b"], "y"), ["a", "b"])
-    assert importances.orderBy(F.desc("importance")).first().feature == "a"
-    assert models.dominant(importances).first().balanced is False
+    table = models.importances(models.fit(separable, models.Forest(trees=5, depth=5), ["a", "b"], "y"))
+    assert table.orderBy(F.desc("importance")).first().feature == "a" and table.agg(F.sum("importance")).first()[0] == pytest.approx(1)
+    assert models.dominant(table).first().balanced is False
 
 
 def test_stack_beats_chance_and_compare_marks_one(separable):
-    specs = [models.Spec("rf", "rf", {"numTrees": 3, "seed": 1}), models.Spec("lr", "lr", {"maxIter": 10})]
+    specs = [models.Forest(trees=3, depth=4), models.Logistic()]
     ensemble = models.stack(separable, specs, ["a", "b"], "y", "id", folds=2)
     assert models.evaluate(ensemble.transform(separable), "y").first().auc > 0.95
-    table = models.compare(separable, specs, ["a", "b"], "y", "id", folds=2).collect()
-    assert len(table) == 2 and sum(r.is_best for r in table) == 1
+    table = models.compare(separable, specs, ["a", "b"], "y", "id", folds=3).collect()
+    assert len(table) == 2 and sum(r.is_best for r in table) == 1 and all(r.folds == 3 for r in table)
+    each = models.fold_scores(separable, specs, ["a", "b"], "y", "id", folds=3).collect()
+    for r in table:
+        f1 = [e.f1 for e in each if e.model == r.model]
+        assert len(f1) == 3 and r.f1 == pytest.approx(np.mean(f1)) and r.f1_spread == pytest.approx(np.std(f1))
 
 
 def test_multiclass_boosting_and_depth_model(separable):
     three = separable.withColumn("y", (F.col("a") / 4).cast("int"))
-    model = models.fit(three, models.Spec("m", "gbt_multi", {"maxIter": 2, "seed": 1}), ["a", "b"], "y")
-    right = model.transform(three).select(F.avg((F.col("prediction") == F.col("y")).cast("int"))).first()[0]
-    assert right > 0.95
-    depth = models.fit(separable.withColumn("d", F.col("a") * 3), models.Spec("d", "depth", {"maxIter": 5, "seed": 1}), ["a", "b"], "d")
-    scored = depth.transform(separable.withColumn("d", F.col("a") * 3))
-    assert scored.select(F.max(F.abs(F.col("d") - F.col("prediction")))).first()[0] < 5
+    model = models.fit(three, models.Boosting(rounds=4, loss="softmax", balanced=True), ["a", "b"], "y")
+    scored = model.predict(three, 0, "p")
+    named = F.array_position("p", F.array_max("p")) - 1
+    assert scored.select(F.avg((named == F.col("y")).cast("int"))).first()[0] > 0.95
+    assert scored.select(F.max(F.abs(F.aggregate("p", F.lit(0.0), lambda a, v: a + v) - 1))).first()[0] < 1e-9
+    depth = models.fit(separable.withColumn("d", F.col("a") * 3), models.Boosting(rounds=60, loss="squared", l2=0.0), ["a", "b"], "d")
+    error = depth.predict(separable.withColumn("d", F.col("a") * 3), 0, "p").select(F.max(F.abs(F.col("d") - F.col("p")))).first()[0]
+    assert error < 0.2
+
+
+def test_training_sets_are_resampled_inside_folds(separable):
+    """The copies that a fold's training set gets come from that set alone, and the threshold is the tuned one."""
+    seen = []
+
+    def doubled(train):
+        seen.append(train.select("fold").distinct().collect())
+        return train.unionByName(train.where("y = 1"))
+
+    specs = [models.Boosting(rounds=2, depth=2), models.Logistic()]
+    trained = models.train_ensemble(separable, specs, ["a", "b"], "y", "id", folds=3, resample=doubled)
+    assert sorted(sorted(r.fold for r in s) for s in seen) == [[0, 1], [0, 1, 2], [0, 2], [1, 2]]
+    out = trained.transform(separable)
+    assert 0 < trained.threshold < 1 and out.where((F.col("score") >= trained.threshold) != (F.col("prediction") == 1)).count() == 0
+    assert models.evaluate(out, "y", "score", trained.threshold).first().f1 > 0.9
 
 
 def test_scoring_with_a_fitted_model(spark):
@@ -155,32 +177,10 @@ def test_scoring_with_a_fitted_model(spark):
 
     hourly = rel.obs_hourly(spark, "/root/testdata/sf0.001")
     train = features.hourly_features(hourly).withColumn("depth", F.col("rain_intensity_max") * 2.0)
-    model = models.fit(train, models.Spec("d", "depth", {"maxIter": 3, "maxDepth": 4, "seed": 1}), ["rain_intensity_max", "pasut_msl_max", "rain_lag1"], "depth")
+    model = models.fit(train, models.Boosting(rounds=30, depth=4, loss="squared", l2=0.0), ["rain_intensity_max", "pasut_msl_max", "rain_lag1"], "depth")
     scored = scoring.score_series(hourly, model)
     assert scored.count() == hourly.count()
     low, top = scored.agg(F.min("depth_cm"), F.max("depth_cm")).first()
     assert low >= 0 and top > 20
     day = scoring.score_rows(spark.createDataFrame([(30.0, 2.0)], "rain_intensity_max double, pasut_msl_max double"), model).first()
     assert day.depth_cm > 20
-
-
-def test_registered_training_runs_at_full_size(monkeypatch):
-    """The registered queries hand the learners of plans/models.py and the default folds on."""
-    from hydrolake.catalog import training_queries as q
-
-    class Any:
-        def __getattr__(self, name):
-            return lambda *a, **b: self
-
-    seen = []
-    monkeypatch.setattr(q, "training_rows", lambda *a: Any())
-    monkeypatch.setattr("hydrolake.session.cut_lineage", lambda df: df)
-    for module, name in ((q.ranking, "stratified_split"), (q.ranking, "plain_split"), (q.datasets, "dataset_v4"), (q.datasets, "depth_target"), (q.rel, "obs_daily"), (q.models, "evaluate"), (q.models, "positive_probability"), (q.metrics, "regression_metrics")):
-        monkeypatch.setattr(module, name, lambda *a, **b: Any())
-    monkeypatch.setattr(q.models, "fit", lambda df, spec, *a, **b: seen.append(spec) or Any())
-    for name in ("stack", "compare"):
-        monkeypatch.setattr(q.models, name, lambda df, specs, *a, **b: seen.append((list(specs), b)) or Any())
-    for f in (q.train_gbt, q.train_depth_model, q.stacked_model, q.compare_models):
-        f(None, None)
-    every = [models.RANDOM_FOREST, models.BOOSTED, models.LOGISTIC]
-    assert seen == [models.BOOSTED, models.DEPTH_MODEL, (every, {}), (every, {})]
