@@ -38,6 +38,8 @@ HEADLINE = [
     "roc_auc_log",
     "pr_curve",
     "stream_hourly",
+    "flood_probabilities",
+    "hourly_model_status",
 ]
 
 

@@ -19,19 +19,23 @@ from hydrolake.streaming import jobs
 LAST = "(select max(ts) - interval 2 hour from events)"
 
 
-#: Files into which a replay cuts the events.
+#: Slices of time into which a replay cuts the events.
 SLICES = 4
 
 
 def replayed(spark, d, base):
-    """The events cut into files in time order, one of which makes a micro-batch."""
+    """The events cut into slices of time, each of which makes a micro-batch; those without a time come first.
+
+    A slice is written by as many tasks as the input has parts, and read as so many files.
+    """
     events = rel.table(spark, d, "events")
-    cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).approxQuantile("t", [k / SLICES for k in range(1, SLICES)], 0.01)
     t = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(t.alias("t")).approxQuantile("t", [k / SLICES for k in range(1, SLICES)], 0.01)
+    files = max(1, events.rdd.getNumPartitions())
     for low, high in zip([None, *cuts], [*cuts, None]):
-        part = events if low is None else events.where(t > low)
-        (part if high is None else part.where(t <= high)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return jobs.read_gauges(spark, f"{base}/in", files_per_batch=1)
+        part = events.where(t.isNull() | (t <= cuts[0]) if low is None else t > low) if cuts else events
+        (part if high is None or low is None else part.where(t <= high)).repartition(files).write.mode("append").parquet(f"{base}/in")
+    return jobs.read_gauges(spark, f"{base}/in", files_per_batch=files)
 
 
 def run(spark, d, start, source=None, replay=False):

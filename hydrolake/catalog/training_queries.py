@@ -199,19 +199,27 @@ def unit(salt: str, parts: str) -> str:
     return f"(('0x' || substr(md5('42{salt}:' || {parts}), 1, 8))::ubigint / 4294967296.0::double)"
 
 
-SMOTE = f"""select id, copy, y, x0 + (p0 - x0)*u as first, x63 + (p63 - x63)*u as last from (
- select d.id, d.copy, d.y, d.x[1] as x0, d.x[64] as x63, p.x[1] as p0, p.x[64] as p63, d.u from (
+GROWN = f"""select id, copy, y, list_transform(range(1, len(x) + 1), lambda i: x[i] + (p[i] - x[i]) * u) as x from (
+ select d.id, d.copy, d.y, d.x, p.x as p, d.u from (
   select id, y, x, copy, {unit('gap', "id || ':' || copy")} as u, floor({unit('nn', "id || ':' || copy")}*least(3, n-1)) + 1 as rank from (
    select id, y, x, n, unnest(range(1, ((m-n) // n + case when rk <= (m-n) % n then 1 else 0 end + 1)::bigint)) as copy from (
     select *, max(n) over () as m from (select id, y, x, row_number() over (partition by y order by md5('42:' || id)) as rk, count(*) over (partition by y) as n from vectors)))) d
  join near on near.id = d.id and near.rank = d.rank join vectors p on p.id = near.neighbour)
-union all select id, 0, y, x[1], x[64] from vectors"""
+union all select id, 0, y, x from vectors"""
+# sums over all coordinates, one of them weighted by place, so that every coordinate counts
+WHOLE = "id, copy, y, x[1] as first, x[-1] as last, list_sum(x) as total, list_sum(list_transform(range(1, len(x) + 1), lambda i: i * x[i])) as placed"
+VECTOR_COLUMNS = "id copy:i y first:d last:d total:d placed:d"
 
 
-@query(oracle("id copy:i y first:d last:d", SMOTE, "vectors", {"near": NEAR.format(on="and a.y = b.y", k=3)}))
+def whole_vectors(df):
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    return df.select("id", "copy", "y", F.col("x")[0].alias("first"), F.element_at("x", -1).alias("last"), add(F.col("x")).alias("total"),
+                     add(F.transform("x", lambda v, i: v * (i + 1))).alias("placed"))
+
+
+@query(oracle(VECTOR_COLUMNS, f"select {WHOLE} from grown", "vectors", {"near": NEAR.format(on="and a.y = b.y", k=3), "grown": GROWN}))
 def smote(spark, d):
-    s = neighbours.smote(rel.vectors(spark, d), k=3)
-    return s.select("id", "copy", "y", F.col("x")[0].alias("first"), F.element_at("x", -1).alias("last"))
+    return whole_vectors(neighbours.smote(rel.vectors(spark, d), k=3))
 
 
 @query(oracle("id y", """
@@ -220,9 +228,15 @@ def enn_filter(spark, d):
     return neighbours.enn_filter(rel.vectors(spark, d), 3).select("id", "y")
 
 
-@query()
+@query(oracle(VECTOR_COLUMNS, f"""
+select {WHOLE} from rows r where y = (select y from rows group by y order by count(*), y limit 1) or not exists (
+ select 1 from around n join rows b on b.row_id = n.neighbour where n.row_id = r.row_id and b.y <> r.y)""", "vectors", {
+    "near": NEAR.format(on="and a.y = b.y", k=3), "grown": GROWN,
+    "rows": "select *, ('0x' || substr(md5('42row:' || id || ':' || copy), 1, 15))::bigint as row_id from grown",
+    "around": "select a.row_id, b.row_id as neighbour from rows a join rows b on a.row_id <> b.row_id qualify row_number() over (partition by a.row_id order by list_distance(a.x, b.x), b.row_id) <= 3"}))
 def smote_enn(spark, d):
-    return neighbours.smote_enn(rel.vectors(spark, d)).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    """Oversampled and cleaned rows, originals and copies."""
+    return whole_vectors(neighbours.smote_enn(rel.vectors(spark, d)))
 
 
 # --- evaluation ------------------------------------------------------------------------------
@@ -296,7 +310,7 @@ def regression_metrics(spark, d):
     return metrics.regression_metrics(o, "y", "p")
 
 
-# --- models (rows only: learners have no SQL counterpart) --------------------------------------
+# --- models at full size (rows only; model_queries.py has those that SQL fits again) ------------
 
 MODEL_FEATURES = config.FEATURES_V4
 
@@ -329,6 +343,25 @@ def train_gbt(spark, d):
     return scored_report(spark, d, models.BOOSTED)
 
 
+@query()
+def train_gbt_3class(spark, d):
+    """Boosting of the three classes with balanced weights; the report of the held-out rows, class by class."""
+    model, test = held_out(spark, d, models.BOOSTED_3_CLASSES, "label")
+    named = (F.array_position("score", F.array_max("score")) - 1).cast("int")
+    return metrics.class_report(model.predict(test).withColumn("named", named), "label", "named").select("class", "precision", "recall", "f1", "support")
+
+
+@query()
+def tuned_model(spark, d):
+    """Boosting and regression stacked, the threshold tuned on out-of-fold scores and applied to the held-out rows."""
+    from hydrolake.session import cut_lineage
+
+    split = cut_lineage(ranking.stratified_split(training_rows(spark, d), "is_flood", ["loc", "tanggal"]))
+    trained = models.train_ensemble(split.where("is_train = 1"), [models.BOOSTED, models.LOGISTIC], MODEL_FEATURES, "is_flood", ["loc", "tanggal"])
+    scored = trained.transform(split.where("is_train = 0"))
+    return models.evaluate(scored, "is_flood", "score", trained.threshold).withColumn("threshold", F.lit(trained.threshold))
+
+
 @query()
 def train_lr(spark, d):
     return scored_report(spark, d, models.LOGISTIC)

@@ -126,7 +126,8 @@ def flow_accumulation(directions: DataFrame) -> DataFrame:
     Pointer doubling: in round i a cell knows the total of the cells up to 2^i steps above it and
     points 2^i steps down. Rounds grow with the logarithm of the longest flow path. Every round is
     written to the shared folder, so lost executors cost one round. Cells whose pointer has run off
-    the end of their path leave the join.
+    the end of their path leave the join. A path cannot be longer than the number of cells, so
+    directions that still lead on after that many steps hold a cycle, which is an error.
     """
     state = directions.where(F.col("direction").isNotNull()).select(
         cell_id("row", "col").alias("cell"),
@@ -134,7 +135,11 @@ def flow_accumulation(directions: DataFrame) -> DataFrame:
         F.lit(1).cast("long").alias("acc"),
     )
     state = cut_lineage(state)
+    steps, cells = 1, state.count()
     while not state.where(F.col("down").isNotNull()).isEmpty():
+        if steps > cells:
+            raise ValueError("the flow directions hold a cycle")
+        steps *= 2
         moving = state.where(F.col("down").isNotNull())
         arrives = moving.groupBy(F.col("down").alias("cell")).agg(F.sum("acc").alias("_in"))
         jump = state.select(F.col("cell").alias("down"), F.col("down").alias("_next"))

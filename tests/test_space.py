@@ -182,3 +182,10 @@ def test_nodal_factors_scale_and_shift(spark):
     model = spark.createDataFrame([(1, "M2", 0.0, 1.0, 0.5, 2.0, 1.1, 0.5)], "station int, name string, omega double, amplitude double, phase double, mean double, f double, u double")
     times = spark.sql("select 1 as station, timestamp_ntz'1970-01-01 00:00:00' as time")
     assert tide.tide_predict(times, model).first().est == pytest.approx(2.0 + 1.1)
+
+
+def test_flow_over_a_cycle_is_an_error(spark):
+    rows = [(0, 0, 1, 0, 1), (0, 1, 1, 0, 0), (0, 2, 1, 0, 1)]
+    df = spark.createDataFrame(rows, "row int, col int, direction int, to_row int, to_col int")
+    with pytest.raises(ValueError, match="cycle"):
+        raster.flow_accumulation(df)

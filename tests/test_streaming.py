@@ -104,3 +104,13 @@ def test_upstream_join_matches_batch(spark, landed, tmp_path):
     assert got.items() <= want.items()
     limit = watermark(landed[1].where("kind in ('purchase', 'error')"), dt.timedelta(hours=5))
     assert {k for k, _ in want.items() if k[1] < limit} <= got.keys()
+
+
+def test_a_replay_loses_no_event(spark, tmp_path):
+    from hydrolake.catalog import stream_queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    late = events.limit(5).withColumn("ts", F.lit(None).cast(events.schema["ts"].dataType))
+    events.unionByName(late).write.parquet(str(tmp_path / "events.parquet"))
+    stream_queries.replayed(spark, str(tmp_path), str(tmp_path / "replay"))
+    assert spark.read.parquet(str(tmp_path / "replay/in")).count() == events.count() + 5

@@ -67,6 +67,17 @@ def test_smote_balances_and_stays_on_segments(cloud):
         assert ok
 
 
+def test_rows_without_a_class_are_a_class(spark):
+    rows = [(i, [float(i), 0.0], 1) for i in range(8)] + [(100 + i, [float(i), 5.0], None) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y int")
+    near = neighbours.knn(df, 2, within="y")
+    assert {r.id for r in near.collect()} == {r[0] for r in rows}
+    assert near.where((F.col("id") >= 100) != (F.col("neighbour") >= 100)).count() == 0
+    grown = neighbours.smote(df, k=2)
+    assert {r.y: r["count"] for r in grown.groupBy("y").count().collect()} == {1: 8, None: 8}
+    assert neighbours.enn_filter(df, 2).count() == 12
+
+
 def test_enn_keeps_smallest_class_and_clean_rows(cloud):
     x, y, df = cloud
     near = brute(x, range(len(x)), 3)
