@@ -29,7 +29,7 @@ def test_registry_shape():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 120
     without = {n for n in set(queries) - set(oracles) if not n.startswith("op") and n != "pipeline"}
-    assert all(n.startswith(("train_", "stacked", "compare", "feature_importances", "smote_enn")) for n in without)
+    assert all(n.startswith(("train_", "stacked", "compare", "tuned", "feature_importances")) for n in without)
 
 
 def test_entry_runs(spark):
