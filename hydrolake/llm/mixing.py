@@ -115,12 +115,12 @@ def _schedule(goals: DataFrame, block: int, n_slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+        weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row, with source and ``start``, its place on its source's line.
 
-    Words are taken from a document's head on; taken mod size words belong to an incomplete last copy.
+    ``carry`` names columns that are handed through, such as a row number by which repeated rows are told apart. Words are taken from a document's head on; taken mod size words belong to an incomplete last copy.
     """
-    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *carry))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = stored(targets(per_source, weights, share, most).withColumn("goal", F.round("target").cast("long")))
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return (
         placed.join(took, "_row", "left")
         .join(g, F.col("source").eqNullSafe(F.col("_s")))
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "start")
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "start", *carry)
     )
 
 

@@ -15,7 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_queries_are_registered():
     queries = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in queries) == 1
     assert "pipeline" in queries and set(entry.oracle_sql()) <= set(queries)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "quality classifier", "n-gram Jaccard join", "mixing sources to target weights", "best-fit packing"]
@@ -50,8 +50,18 @@ def test_mixing_stage_repeats_and_cuts(spark, awkward):
     want = Counter()
     for r in mixing.mix(docs).collect():
         want[r["doc_id"]] += r["taken"]
-    for doc, n in want.items():
-        assert words[doc] == n if doc != 70 else abs(words[doc] - n) <= 3  # repeated rows share their turns
+    assert words == +want
+
+
+def test_repeated_rows_get_their_own_turns(spark):
+    """50 copies of a row and rows of equal id, source and size but other text: every word that the mix takes, no more."""
+    rows = [(1, "a b c d e f g", "en", "s", 13)] * 50 + [(1, "t u v w x y z", "en", "s", 13), (None, "h i", None, None, 3), (None, "j k", None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    target = {r["source"]: r["target"] for r in mixing.mix(docs).collect()}
+    for source in ("s", None):
+        assert sum(len(r["text"].split()) for r in got if r["source"] == source) == round(target[source])
+    assert all(any(own.startswith(r["text"]) for _, own, *_ in rows) for r in got)
 
 
 @pytest.mark.parametrize("rows", ["awkward", "nothing"])
