@@ -45,21 +45,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: a document appears as often as the mix takes it whole, and once more cut to the words of a last, partial turn.
 
-    Documents that the mix does not take, and those without words, go. Repeated rows keep their own turns: rows equal in
-    id and size are told apart only by number, which gives the same rows.
+    Documents that the mix does not take, and those without words, go. Rows are numbered, so each of several equal rows
+    gets its own turns.
     """
     prepared(spark)
-    taken = mixing.mix(docs).where("taken > 0")
-    turns = taken.groupBy("doc_id", "source", "size").agg(F.collect_list("taken").alias("turns"))
-    turns = turns.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "turns")
-    size = mixing.n_words(F.col("text"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("source"), size.alias("size"))
-    met = rows.join(turns, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
-    copies = F.size("turns")
-    # the usual single row takes its own turn; of equal rows each gets the mean, the first ones a word more
-    share = F.when(copies == 1, F.col("turns")[0]).otherwise(F.floor(F.aggregate("turns", F.lit(0).cast("long"), lambda a, b: a + b) / copies))
-    met = met.withColumn("_share", share.cast("long"))
-    whole, rest = F.floor(F.col("_share") / F.col("size")).cast("int"), (F.col("_share") % F.col("size")).cast("int")
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("_number")))
+    taken = mixing.mix(rows.select("row.doc_id", "row.source", "row.text", "_number"), carry=("_number",)).where("taken > 0")
+    met = rows.join(taken.select("_number", "size", "taken"), "_number")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     lengths = F.filter(F.concat(F.array_repeat(F.col("size"), whole), F.array(rest.cast("long"))), lambda n: n > 0)
     cut = met.withColumn("_words", F.explode(lengths))
     words = F.filter(F.split("row.text", r"[ \t-\r]+"), lambda w: w != "")
