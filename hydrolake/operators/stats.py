@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 from hydrolake.functions.numeric import col, from_ordered_code, with_ordered_code
 from hydrolake.operators.keys import join_keys
 
-#: Bits of a value's code that a round of the selection settles.
-DIGIT = 16
+#: Bits of a value's code that are still open after each round of the selection.
+OPEN_BITS = (42, 20, 0)
 
 
 def selected(df: DataFrame, value: str, ranks: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
     """by, ``n`` and ``v``, an array of the values that stand at the given ranks (from 0) of each group.
 
     ``ranks`` are expressions of ``n``, the group's number of values. Selection by digits: values are read as 64-bit codes
-    of the same order; each round counts, per group, the values by their next 16 bits, but only where the bits settled
-    so far are those of a wanted rank. After four rounds each rank has its value. Every round is one aggregate that
-    folds on the map side, and no window holds more than 2^16 rows. One way for all sizes: groups are never sorted or
+    of the same order; each round counts, per group, the values by their next 20 or 22 bits, but only where the bits settled
+    so far are those of a wanted rank. After three rounds each rank has its value. Every round is one aggregate that
+    folds on the map side, and no window holds more than 2^22 rows, however many the group has. One way for all sizes: groups are never sorted or
     gathered, and a group may hold any share of the rows. NULL and NaN values are left out.
     """
     by = list(by)
@@ -31,15 +31,15 @@ def selected(df: DataFrame, value: str, ranks: Sequence[Column], by: Sequence[st
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
     wanted = F.array(*[r.cast("long") for r in ranks])
-    found = None
-    for shift in range(64 - DIGIT, -1, -DIGIT):
+    found, settled = None, 64
+    for shift in OPEN_BITS:
         prefix = F.shiftright("_c", shift)
         if found is None:
             counts = rows.groupBy(*keys, prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
             counts = counts.withColumn("n", F.sum("_n").over(W.partitionBy(*keys))).withColumn("_base", F.lit(0).cast("long"))
             inside = W.partitionBy(*keys).orderBy("_p")
         else:
-            near = join_keys(rows.withColumn("_u", F.shiftright("_c", shift + DIGIT)), found, [*keys, "_u"])
+            near = join_keys(rows.withColumn("_u", F.shiftright("_c", settled)), found, [*keys, "_u"])
             # n and the rows below are the same for all rows of a prefix; as keys they need no second join
             counts = near.groupBy(*keys, "_u", "n", "_base", prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
             inside = W.partitionBy(*keys, "_u").orderBy("_p")
@@ -47,6 +47,7 @@ def selected(df: DataFrame, value: str, ranks: Sequence[Column], by: Sequence[st
         counts = counts.withColumn("_base", F.col("_base") + below)
         held = lambda r: (r >= F.col("_base")) & (r < F.col("_base") + F.col("_n"))
         hit = reduce(lambda a, b: a | b, [held(r.cast("long")) for r in ranks])
+        settled = shift
         last, found = counts.where(hit), counts.where(hit).select(*keys, "n", F.col("_base"), F.col("_p").alias("_u"))
     here = F.filter(F.transform(wanted, lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda w: held(w["r"]))
     each = last.select(*keys, "n", F.explode(here).alias("_w"), from_ordered_code(F.col("_p")).alias("_v"))
