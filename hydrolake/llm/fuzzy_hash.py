@@ -143,11 +143,12 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # by text too, so that rows of one id, such as null, are spread
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     walked = stored(ordered.mapInArrow(_walk, FOUND).withColumn("task", F.spark_partition_id()))
     ends = walked.where("place > 0").select("doc_id", "task", "place")
     # two rows per task: a last row's successor is the first row of the next task, of the last task that of the first
-    order = Window.orderBy(F.col("doc_id").isNotNull(), "doc_id", "task", "place")
+    order = Window.orderBy("task", "place")  # tasks ascend as their ranges do
     first = F.first(F.struct("task", "place")).over(order)
     pairs = (
         ends.withColumn("after", F.coalesce(F.lead(F.struct("task", "place"), 1).over(order), first))

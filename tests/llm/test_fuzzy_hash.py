@@ -89,3 +89,21 @@ def test_likeness_by_hand(spark):
     df = spark.createDataFrame(pairs, "a string, b string").withColumn("x", fuzzy_hash.likeness(F.col("a"), F.col("b")))
     for r in df.collect():
         assert abs(r["x"] - want(r["a"], r["b"])) < 1e-12
+
+
+def test_rows_of_one_id_are_spread_and_chained(spark, monkeypatch):
+    texts = [f"row number {i} " * 30 for i in range(400)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(1, "after all of them")], "doc_id long, text string").repartition(4)
+    seen, stored = [], fuzzy_hash.stored
+    monkeypatch.setattr(fuzzy_hash, "stored", lambda d: seen.append(stored(d)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = fuzzy_hash.fingerprint_edits(df).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    per_task = [r["count"] for r in seen[0].groupBy("task").count().collect()]
+    assert len(per_task) >= 3 and max(per_task) < 250
+    # every row is edited by the head of exactly one other row, all in one ring
+    cut = {hashlib.sha256((t[: len(t) - len(t) // 4] + a[: len(t) // 4]).encode()).hexdigest(): (t, a) for t in [*texts, "after all of them"] for a in [*texts, "after all of them"] if a != t}
+    edges = [cut[r["edited_sha256"]] for r in got if r["n_chars"] != len("after all of them")]
+    assert len(got) == 401 and len({t for t, _ in edges}) == 400
