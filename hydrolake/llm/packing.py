@@ -7,7 +7,9 @@ piece that fits first; then its shortest piece goes back to the pool if two piec
 expanded more tightly.
 
 Tokenising: runs between blanks, tabs and line feeds are encoded apart, as the vocabulary's rules never reach
-across white space, and kept in a bounded dictionary of each worker.
+across white space, and kept in a bounded dictionary of each worker. Runs of plain characters, which the vocabulary's
+normaliser leaves as they are, are parted into words by its pattern and only new words encoded; other runs, and texts
+in which lower case before composition differs from lower case after it, go through the tokenizer's every step.
 
 Defined cases: a null or empty text is its end id alone; a null document id is a document of its own; repeated rows are
 packed as often as they occur; an empty table gives an empty result; extra columns are dropped.
@@ -15,7 +17,11 @@ packed as often as they occur; an empty table gives an empty result; extra colum
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +43,36 @@ HELD_CHARS = 2_000_000
 #: Letters whose lower case depends on their place; texts with them are left to the tokenizer as they are.
 UNLIKE = "\u03a3\u0130"
 
+#: The steps before BPE for which plain runs have a shorter way.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+WORD_END = "</w>"
+
+
+def _plain_letters() -> str:
+    """Small letters of Latin, Greek, Cyrillic and Armenian; neither alone nor side by side are they changed by NFC or lower case."""
+    small = (chr(c) for c in range(0xDF, 0x590))
+    return "a-z" + "".join(c for c in small if unicodedata.category(c) == "Ll" and unicodedata.normalize("NFC", c) == c == c.lower())
+
+
+_LETTERS = _plain_letters()
+#: Runs of ASCII without capitals and "<", which begins special tokens, and of those letters; and their words.
+PLAIN = re.compile(f"[!-;=-@\\[-`{{-~{_LETTERS}]+")
+WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+
+
+def _byte_letters() -> str:
+    """The letter by which byte-level BPE writes each byte; a blank is kept, as it parts words."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in own else next(others)) for b in range(256)).replace("\u0120", " ")
+
+
+BYTE_LETTERS = _byte_letters()
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _h long"
 
 
@@ -52,16 +88,60 @@ class Encoder(dict):
         # a special token parts the runs that are encoded together; runs that hold its text go alone
         parting = max(((a.content, i) for i, a in self.tokenizer.get_added_tokens_decoder().items() if a.special), default=(None, -1), key=lambda x: x[1])
         self.parting, self.parting_id = parting
+        self.special = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = self._words()
         self[""] = b""
 
-    def learn(self, runs: set[str]) -> None:
-        new = [r for r in runs if r not in self]
+    def _words(self):
+        """A tokenizer of byte letters between blanks, by the same merges; none if the file's steps are others."""
+        from tokenizers import Tokenizer
+
+        steps = json.loads(self.tokenizer.to_str())
+        model = steps["model"]
+        if (
+            steps["normalizer"] != NORMALIZER or steps["pre_tokenizer"] != PRE_TOKENIZER or model["type"] != "BPE" or model["end_of_word_suffix"] != WORD_END
+            or any(model[x] for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback")) or any("<" != x[0] for x in self.special)
+            or any(c not in model["vocab"] or c + WORD_END not in model["vocab"] for c in BYTE_LETTERS.replace(" ", "\u0120"))
+        ):
+            return None
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for x, i in model["vocab"].items() if x.endswith(WORD_END)]] = True
+        return Tokenizer.from_str(json.dumps({**steps, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+
+    def learn_words(self, words: list[str]) -> None:
+        """Words of plain runs; each one's last id, and no other, is that of a word's end."""
+        for at in range(0, len(words), 8192):
+            part = words[at : at + 8192]
+            lines = [codecs.charmap_decode(" ".join(part[k : k + 512]).encode(), "strict", BYTE_LETTERS)[0] for k in range(0, len(part), 512)]
+            ids = np.concatenate([np.array(found.ids, "<u4") for found in self.words.encode_batch_fast(lines, add_special_tokens=False)])
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                raise ValueError("a word reaches beyond its place")
+            self.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+
+    def learn(self, new: set[str]) -> None:
+        """Encodes runs that are not kept yet."""
         if len(self) + len(new) > KEPT_RUNS:
             self.clear()
             self[""] = b""
-            new = [r for r in runs if r]
-        alone = [r for r in new if self.parting is None or "<" in r]
-        together = [r for r in new if not (self.parting is None or "<" in r)]
+        # flat lists: many small containers would have the collector walk the whole dictionary again and again
+        alone, together, plain, words, counts = [], [], [], [], []
+        for r in new:
+            if self.words is not None and PLAIN.fullmatch(r):
+                found = WORD.findall(r)
+                plain.append(r)
+                words += found
+                counts.append(len(found))
+            elif self.parting is None or "<" in r:
+                alone.append(r)
+            else:
+                together.append(r)
+        self.learn_words([w for w in set(words) if w not in self])
+        at = 0
+        for r, n in zip(plain, counts):
+            if n > 1:
+                self[r] = b"".join([self[w] for w in words[at : at + n]])
+            at += n
         for run, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
             self[run] = np.array(found.ids, "<u4").tobytes()
         parts = [together[at : at + 256] for at in range(0, len(together), 256)]
@@ -75,16 +155,25 @@ class Encoder(dict):
                 self[run] = raw[4 * at : 4 * end]
                 at = end + 1
 
+    def lowers(self, part: str, small: str) -> bool:
+        """Whether the tokenizer finds the same in the text in lower case: no letter's case depends on its place,
+        none composes only in lower case, and no special token appears only then."""
+        return (
+            not any(c in part for c in UNLIKE)
+            and unicodedata.is_normalized("NFC", small)
+            and not ("<" in small and any(part.count(x) != small.count(x) for x in self.special))
+        )
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The whole texts' ids; long texts are cut at blanks, so that few runs are held at once."""
         out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, list[str]]] = []
+        held: list[tuple[int, list[str], list[bytes | None]]] = []
         size = 0
 
         def flush() -> None:
-            self.learn({r for _, runs in held for r in runs})
-            for k, runs in held:
-                out[k].append(b"".join(map(self.__getitem__, runs)))
+            self.learn({run for _, runs, coded in held for run, found in zip(runs, coded) if found is None})
+            for k, runs, coded in held:
+                out[k].append(b"".join([self[run] if found is None else found for run, found in zip(runs, coded)]))
             held.clear()
 
         for k, text in enumerate(texts):
@@ -97,9 +186,10 @@ class Encoder(dict):
                 else:
                     end = len(text)
                 part = text[at:end]
-                if not any(c in part for c in UNLIKE):
-                    part = part.lower()
-                held.append((k, part.replace("\n", " ").replace("\t", " ").split(" ")))
+                if self.lowers(part, small := part.lower()):
+                    part = small
+                runs = part.replace("\n", " ").replace("\t", " ").split(" ")
+                held.append((k, runs, list(map(self.get, runs))))
                 size += end - at
                 at = end
                 if size >= HELD_CHARS:

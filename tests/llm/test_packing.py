@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.normalizers import NFC
 
 from hydrolake.llm import packing
 from hydrolake.llm.queries import vocabulary
@@ -68,3 +69,40 @@ def test_runs_are_encoded_as_the_whole_text():
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(500)]
     e, tok = packing.Encoder(vocabulary()), Tokenizer.from_file(vocabulary())
     assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [f.ids for f in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def both_ways(texts):
+    e, tok = packing.Encoder(vocabulary()), Tokenizer.from_file(vocabulary())
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [f.ids for f in tok.encode_batch(texts, add_special_tokens=False)]
+    return e
+
+
+def test_case_that_only_small_letters_have():
+    # j, t, upsilon compose with the mark, their capitals do not; capitals make no special token
+    both_ways(["J̌", "a T̈ b", "Υ̓", "Į̇", "É Å K", "<|ENDOFTEXT|> a", "x<|StartOfText|>", "<|endoftext|> <|EndOfText|>"])
+
+
+def test_plain_runs_are_parted_into_words():
+    e = both_ways(["Stop, stop. it's 'tis we're'll 2024 a1b2 été! don't''s ..'re", "naïve—жук, ως </w> a</w>b &lt;"])
+    assert e["it's"] == e["it"] + e["'s"] and e["stop,"] == e["stop"] + e[","]
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0x21, 0x590)]
+    plain = [c for c in letters if packing.PLAIN.fullmatch(c)]
+    both_ways([c + " x" + c + "y" for c in letters])
+    both_ways(["".join(rng.choice([*plain, " ", " ", "'s", "'re", "'", "1", ".", "e"]) for _ in range(60)) for _ in range(1000)])
+
+
+def test_only_new_words_reach_the_tokenizer():
+    e = packing.Encoder(vocabulary())
+    seen, learn_words = [], e.learn_words
+    e.learn_words = lambda words: (seen.extend(words), learn_words(words))
+    e.ids(["river rises, river (rises) river; rises."])
+    e.ids(["rises: river!"])
+    assert sorted(seen) == sorted(["river", "rises", ",", "(", ")", ";", ".", ":", "!"])
+
+
+def test_other_vocabulary_steps_take_the_long_way(tmp_path):
+    tok = Tokenizer.from_file(vocabulary())
+    tok.normalizer = NFC()
+    tok.save(path := str(tmp_path / "cased.json"))
+    assert packing.Encoder(path).words is None and packing.Encoder(vocabulary()).words is not None
