@@ -133,8 +133,7 @@ def recent_weather(spark, d):
 select loc, "time", precipitation, est from (select *, row_number() over (partition by loc order by abs(epoch_us("time") - epoch_us({AS_OF} + interval 20 minute)), "time") as rn from
  (select o.loc, o."time", o.precipitation, h.est from obs_sparse o join obs_hourly h on h.loc=o.loc and h."time"=o."time")) where rn = 1""", "obs_hourly"))
 def nearest_row(spark, d):
-    tide = rel.obs_hourly(spark, d).select("loc", "time", "est")
-    o = rel.obs_sparse(spark, d).select("loc", "time", "precipitation").join(tide, ["loc", "time"])
+    o = rel.obs_sparse(spark, d).select("loc", "time", "precipitation").join(rel.tide_hourly(spark, d), ["loc", "time"])
     return timegrid.nearest_row(o, as_of_time(spark, d) + F.expr("interval 20 minutes"))
 
 

@@ -209,3 +209,18 @@ def test_outliers_of_rows_without_a_group(spark):
     rows = [(None, float(k % 3)) for k in range(30)] + [(None, 99.0)]
     got = stats.iqr_outliers(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()
     assert [(r.g, r.v) for r in got] == [(None, 99.0)]
+
+
+@pytest.mark.parametrize("name", ["nearest_row"])
+def test_dense_hours_are_never_broadcast(spark, tmp_path, name):
+    """The dense side of the join holds every hour of every place; Spark sizes it before its hours are laid out."""
+    from hydrolake.catalog import load
+
+    hours = "explode(sequence(timestamp'2024-01-01', timestamp'2024-02-01', interval 7 hours))"
+    events = spark.range(40).selectExpr("id * 5 as user_id", f"{hours} as ts").selectExpr("monotonically_increasing_id() as event_id", "ts", "user_id", "'purchase' as event_type", "cast(user_id as double) as value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    df = load()[name](spark, str(tmp_path))
+    assert df.count() == (40 if name == "nearest_row" else events.count())
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Generate explode" in plan and "BroadcastHashJoin" not in plan
