@@ -263,8 +263,7 @@ select loc, "time", case when est > 2.5 then 1 else 0 end as is_high_tide, case
  case when est > 2.5 and precipitation > 50 then 1 else 0 end as tide_rain_sync, case when precipitation > 10 then 1 else 0 end as is_burst from obs_sparse_tide""",
  "obs_hourly", {"obs_sparse_tide": """select h.loc, h."time", h.est, s.precipitation from obs_hourly h join obs_sparse s on s.loc=h.loc and s."time"=h."time" """}))
 def threshold_flags(spark, d):
-    tide = rel.obs_hourly(spark, d).select("loc", "time", "est")
-    rows = rel.obs_sparse(spark, d).select("loc", "time", "precipitation").join(tide, ["loc", "time"])
+    rows = rel.obs_sparse(spark, d).select("loc", "time", "precipitation").join(rel.tide_hourly(spark, d), ["loc", "time"])
     return rows.select(
         "loc", "time",
         *[c.alias(n) for n, c in risk.threshold_flags("est", "precipitation").items()],

@@ -211,7 +211,7 @@ def test_outliers_of_rows_without_a_group(spark):
     assert [(r.g, r.v) for r in got] == [(None, 99.0)]
 
 
-@pytest.mark.parametrize("name", ["nearest_row"])
+@pytest.mark.parametrize("name", ["threshold_flags", "nearest_row"])
 def test_dense_hours_are_never_broadcast(spark, tmp_path, name):
     """The dense side of the join holds every hour of every place; Spark sizes it before its hours are laid out."""
     from hydrolake.catalog import load
