@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,33 @@ def test_scoring_with_a_fitted_model(spark):
     assert low >= 0 and top > 20
     day = scoring.score_rows(spark.createDataFrame([(30.0, 2.0)], "rain_intensity_max double, pasut_msl_max double"), model).first()
     assert day.depth_cm > 20
+
+
+def test_knn_copies_a_row_once_a_block_and_hands_on_few_rows_at_a_time(spark, monkeypatch):
+    """Nothing can be left out in 16 dimensions: rows go to all blocks, but not once more for each of 64 partitions."""
+    x = np.random.default_rng(3).normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    made, kind = [], type(df)
+    put = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, f, schema, *a, **b: (made.append((f, schema)), put(self, f, schema, *a, **b))[1])
+    near = neighbours.knn(df, 3, pivots=64, block_rows=500)
+    route = next(f for f, schema in made if "x array" in schema and "radius" not in schema)
+    frames = list(route(iter([pd.DataFrame({"id": range(len(x)), "g": "", "x": list(x)})])))
+    assert sum(len(f) for f in frames) <= len(x) * 8 and max(len(f) for f in frames) <= 512 * 8
+    assert as_dict(near) == brute(x, range(len(x)), 3)
+
+
+def test_nearest_rows_far_from_the_origin_ties_and_own_ids():
+    """Where scalar products cancel, distances are still those of differences; equal distances go by id."""
+    rng = np.random.default_rng(5)
+    data = np.concatenate([1e6 + rng.normal(size=(60, 5)) * 1e-3, np.full((6, 5), 1e6)])
+    ids = np.concatenate([np.arange(60), [60, 60, 61, 62, 63, 64]])
+    got: dict = {}
+    for q, n, d in neighbours._nearest(ids, data, ids, data, 4):
+        for row in zip(q, n, d):
+            got.setdefault(row[0], []).append(row[1:])
+    for i in range(60):
+        dist = np.sqrt(((data - data[i]) ** 2).sum(1))
+        want = sorted((dist[j], ids[j]) for j in range(len(ids)) if ids[j] != i)[:4]
+        assert [n for n, _ in got[i]] == [n for _, n in want] and [d for _, d in got[i]] == pytest.approx([d for d, _ in want], rel=1e-9)
+    assert [n for n, d in got[64]] == [60, 60, 61, 62] and all(d == 0 for _, d in got[64])
